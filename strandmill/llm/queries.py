@@ -5,8 +5,73 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandmill.llm import language
-from strandmill.session import table
+from strandmill.llm import language, leaks, mixing
+from strandmill.operators.cover import cover
+from strandmill.session import table, written
+
+
+def leaked(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    return leaks.find(docs, table(spark, sf, "eval_items"))
+
+
+def p6_found(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents and items that share a passage."""
+    return leaked(spark, sf).select("item_id", "doc_id")
+
+
+def p6_spans(spark: SparkSession, sf: str) -> DataFrame:
+    """The word ranges to remove from each document, overlapping passages merged."""
+    spans = cover(leaked(spark, sf), ["doc_id"], "first_word", "last_word")
+    return spans.where("kind = 'period'").select("doc_id", F.col("range_start").alias("first_word"), F.col("range_end").alias("last_word"))
+
+
+def sized_documents(spark: SparkSession, sf: str) -> DataFrame:
+    """Source, language and tokens of every document, counted once and kept in the shared folder."""
+    docs = table(spark, sf, "documents").select(
+        "doc_id",
+        mixing.spelling(F.col("source")).alias("source"),
+        F.coalesce(language.label_language(F.col("lang")), F.lit("und")).alias("lang"),
+        "text",
+    )
+    return written(mixing.count_tokens(docs), "tokens")
+
+
+def mixture(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """Chosen documents of every plan, and the targets."""
+    sized = sized_documents(spark, sf)
+    targets = table(spark, sf, "mix_targets").where("target_share > 0 and source is not null").withColumn("source", mixing.spelling(F.col("source")))
+    rows = [r.asDict() for r in targets.distinct().collect()]  # the stated plans
+    names = spark.createDataFrame([(x,) for x in sorted({r["source"] for r in rows})], "source string")
+    sums = sized.groupBy("source", "lang").agg(F.sum("n_tokens").alias("n"))
+    sizes = {(r["source"], r["lang"]): r["n"] for r in sums.join(F.broadcast(names), "source", "left_semi").collect()}
+    total = sized.agg(F.coalesce(F.sum("n_tokens"), F.lit(0)).alias("n")).first()["n"]
+    leaves = mixing.budgets(rows, sizes, mixing.domain_of, total)
+    schema = "plan_id int, source string, lang string, budget double, epochs int, rest double"
+    plan = spark.createDataFrame([tuple(x[k] for k in ("plan_id", "source", "lang", "budget", "epochs", "rest")) for x in leaves], schema)
+    return mixing.pick(sized, plan), targets
+
+
+def p7_mix(spark: SparkSession, sf: str) -> DataFrame:
+    """The chosen documents of each plan with their repeats."""
+    return mixture(spark, sf)[0]
+
+
+def p7_shares(spark: SparkSession, sf: str) -> DataFrame:
+    """Per plan and source: target share, share reached, documents and tokens with repeats."""
+    chosen, targets = mixture(spark, sf)
+    by = chosen.groupBy("plan_id", "source").agg(
+        F.count("*").alias("n_docs"), F.sum(F.col("n_tokens") * F.col("repeats")).alias("n_tokens"), F.max("repeats").alias("most_repeats")
+    )
+    whole = by.groupBy("plan_id").agg(F.sum("n_tokens").alias("plan_tokens"))
+    reached = by.join(whole, "plan_id").withColumn("reached_share", F.col("n_tokens") / F.col("plan_tokens"))
+    return (
+        targets.select("plan_id", "source", "target_share", "max_repeats")
+        .distinct()
+        .join(reached, ["plan_id", "source"], "left")
+        .na.fill(0, ["n_docs", "n_tokens", "most_repeats", "reached_share"])
+        .drop("plan_tokens")
+    )
 
 
 def identified(spark: SparkSession, sf: str) -> DataFrame:
@@ -33,5 +98,5 @@ def p8_found(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select("doc_id", "c.seg_no", "c.lang").distinct()
 
 
-QUERIES = {"p8_found": p8_found, "p8_languages": p8_languages}
+QUERIES = {f.__name__: f for f in (p6_found, p6_spans, p7_mix, p7_shares, p8_found, p8_languages)}
 SQL: dict[str, str] = {}
