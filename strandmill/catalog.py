@@ -11,10 +11,12 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from strandmill.session import written
+
 ROW = "__row"
 
 SYSTEM = {
@@ -119,22 +121,23 @@ def with_rows(df: DataFrame, *order: str) -> DataFrame:
     """Number the rows densely from 0 in the given order.
 
     The frame is range-partitioned and sorted, rows are numbered within each
-    partition, and the numbers of earlier partitions are added; no task sees
-    more than its own partition. The range-partitioned rows are read twice, so
-    ``order`` should be unique or ties may be numbered either way.
+    partition, and the sizes of earlier partitions are added; no task sees more
+    than its own partition. The sorted rows are written to the shared folder
+    once, because the bounds of the ranges may differ when they are computed
+    again. Ties are numbered either way, but once and for all.
     """
-    ranged = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__p", F.spark_partition_id())
-    numbered = ranged.withColumn("__m", F.monotonically_increasing_id())
-    sizes = numbered.groupBy("__p").agg(F.count("*").alias("__n"), F.min("__m").alias("__m0"))
-    from pyspark.sql import Window
-
-    before = F.sum("__n").over(Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1))
-    base = sizes.select("__p", "__m0", F.coalesce(before, F.lit(0)).alias("__b"))
+    ranged = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    numbered = written(
+        ranged.withColumn("__part", F.spark_partition_id()).withColumn("__place", F.monotonically_increasing_id()), "rows"
+    )
+    sizes = numbered.groupBy("__part").agg(F.count("*").alias("__size"), F.min("__place").alias("__least"))
+    before = F.sum("__size").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1))
+    base = sizes.select("__part", "__least", F.coalesce(before, F.lit(0)).alias("__before"))
     # one row per partition of the frame, so its size is bounded by the number of partitions
     return (
-        numbered.join(F.broadcast(base), "__p")
-        .withColumn(ROW, (F.col("__m") - F.col("__m0") + F.col("__b")).cast("long"))
-        .drop("__p", "__m", "__m0", "__b")
+        numbered.join(F.broadcast(base), "__part")
+        .withColumn(ROW, (F.col("__place") - F.col("__least") + F.col("__before")).cast("long"))
+        .drop("__part", "__place", "__least", "__before")
     )
 
 

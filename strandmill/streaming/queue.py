@@ -7,6 +7,7 @@ import queue
 import threading
 from collections.abc import Callable
 
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from strandmill.sources.loader import Loader
@@ -66,14 +67,13 @@ def watch(loads: LoadQueue, folder: str, checkpoint: str, once: bool = False) ->
     files were seen, and the loader's hashes skip those that are unchanged.
     """
     spark = loads.loader.catalog.spark
-    files = (
-        spark.readStream.format("binaryFile").option("recursiveFileLookup", "true").load(folder).select("path", "modificationTime")
-    )
+    schema = "path string, modificationTime timestamp, length long, content binary"
+    files = spark.readStream.format("binaryFile").schema(schema).option("recursiveFileLookup", "true").load(folder).select("path", "modificationTime")
 
     def each(batch, _):
-        for r in batch.select("path").toLocalIterator():
-            path = r["path"].removeprefix("file:").replace("//", "/")
-            loads.put(path.removesuffix(".json") if path.endswith(".json") else path)
+        # paths only; a sidecar stands for the file beside it
+        for r in batch.select(F.regexp_replace("path", r"^file:/+|\.json$", "").alias("path")).distinct().toLocalIterator():
+            loads.put("/" + r["path"] if not r["path"].startswith("/") and "://" not in r["path"] else r["path"])
 
     writer = files.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer).start()
