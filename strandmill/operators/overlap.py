@@ -29,11 +29,12 @@ def overlap_join(
 ) -> DataFrame:
     """Pairs of rows with the same key whose closed intervals overlap.
 
-    Each right row sits in the one bin that holds it whole; each left row
+    Each left row sits in the one bin that holds it whole; each right row
     visits, at every level, the bins its interval touches. A pair therefore
-    meets exactly once, in the bin of the right row, and needs no
-    de-duplication; the residual condition is the exact overlap. An interval
-    of length n visits about ``n >> 17`` bins of the finest level. ``how``:
+    meets exactly once, in the bin of the left row, and needs no
+    de-duplication; the residual condition is the exact overlap. The left side,
+    which should be the larger one, is shuffled as it is; a right interval of
+    length n visits about ``n >> 17`` bins of the finest level. ``how``:
     ``inner``, or ``left_semi`` for the left rows that overlap anything.
 
     Defined cases: NULL keys or coordinates and reversed intervals overlap
@@ -43,30 +44,24 @@ def overlap_join(
     (ls, le), (rs, re_) = left_range, right_range
     a = left.where((F.col(le) >= F.col(ls)) & F.col(on[0]).isNotNull())
     b = right.where((F.col(re_) >= F.col(rs)) & F.col(on[1]).isNotNull())
-    start, end = F.col(ls).cast("long"), F.col(le).cast("long")
-
-    def touched(level: int) -> Column:
-        bins = F.sequence(_bin(start, level), _bin(end, level))
-        return F.transform(bins, lambda x: F.struct(F.lit(level).alias("level"), x.alias("bin")))
-
-    visits = F.concat(*[touched(v) for v in range(LEVELS + 1)])
-    if how == "left_semi":
-        a = a.withColumn("__id", F.monotonically_increasing_id())
-    visited = a.withColumn("__v", F.explode(visits))
-    s, e = F.col(rs).cast("long"), F.col(re_).cast("long")
+    s, e = F.col(ls).cast("long"), F.col(le).cast("long")
     level = _level(s, e)
     at = F.lit(0).cast("long")
     for v in range(LEVELS):
-        at = F.when(F.col("__rl") == v, _bin(s, v)).otherwise(at)
-    placed = b.withColumn("__rl", level).withColumn("__rb", at)
+        at = F.when(level == v, _bin(s, v)).otherwise(at)
+    placed = a.withColumn("__level", level).withColumn("__bin", at)
+
+    start, end = F.col(rs).cast("long"), F.col(re_).cast("long")
+
+    def touched(v: int) -> Column:
+        return F.transform(F.sequence(_bin(start, v), _bin(end, v)), lambda x: F.struct(F.lit(v).alias("level"), x.alias("bin")))
+
+    visiting = b.withColumn("__v", F.explode(F.concat(*[touched(v) for v in range(LEVELS + 1)])))
     cond = (
-        (visited[on[0]] == placed[on[1]])
-        & (F.col("__v.level") == F.col("__rl"))
-        & (F.col("__v.bin") == F.col("__rb"))
-        & (visited[ls] <= placed[re_])
-        & (visited[le] >= placed[rs])
+        (placed[on[0]] == visiting[on[1]])
+        & (F.col("__level") == F.col("__v.level"))
+        & (F.col("__bin") == F.col("__v.bin"))
+        & (placed[ls] <= visiting[re_])
+        & (placed[le] >= visiting[rs])
     )
-    joined = visited.join(placed, cond, "left_semi" if how == "left_semi" else "inner")
-    if how == "left_semi":
-        return joined.dropDuplicates(["__id"]).drop("__id", "__v")
-    return joined.drop("__v", "__rl", "__rb")
+    return placed.join(visiting, cond, how).drop("__v", "__level", "__bin")

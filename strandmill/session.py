@@ -58,3 +58,14 @@ def null_safe(left: DataFrame, right: DataFrame, pairs: list[tuple[str, str]]):
     for a, b in pairs:
         cond = cond & left[a].eqNullSafe(right[b])
     return cond
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df``, over at least as many partitions as there are cores.
+
+    A scan that yields fewer, such as that of one small file, is redistributed;
+    any larger input keeps its partitions and is not shuffled. Only the order
+    of work changes by this, never a result.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
