@@ -7,12 +7,12 @@ from pyspark.sql import functions as F
 
 from strandmill.llm import language, leaks, mixing
 from strandmill.operators.cover import cover
-from strandmill.session import table, written
+from strandmill.session import spread, table, written
 
 
 def leaked(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "documents").select("doc_id", "text")
-    return leaks.find(docs, table(spark, sf, "eval_items"))
+    return leaks.find(spread(docs), table(spark, sf, "eval_items"))
 
 
 def p6_found(spark: SparkSession, sf: str) -> DataFrame:
@@ -34,7 +34,7 @@ def sized_documents(spark: SparkSession, sf: str) -> DataFrame:
         F.coalesce(language.label_language(F.col("lang")), F.lit("und")).alias("lang"),
         "text",
     )
-    return written(mixing.count_tokens(docs), "tokens")
+    return written(mixing.count_tokens(spread(docs)), "tokens")
 
 
 def mixture(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
@@ -76,7 +76,7 @@ def p7_shares(spark: SparkSession, sf: str) -> DataFrame:
 
 def identified(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "documents").select("doc_id", "lang", "text")
-    return language.identify(docs, language.fit(docs), label_col="lang")
+    return language.identify(spread(docs), language.fit(docs), label_col="lang")
 
 
 def p8_languages(spark: SparkSession, sf: str) -> DataFrame:
