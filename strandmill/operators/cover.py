@@ -36,56 +36,45 @@ def cover(
     nothing; an empty table gives an empty result; other columns of ``df`` are
     ignored whatever their names.
     """
-    ks = [f"__k{i}" for i in range(len(keys))]
     s, e = F.col(start).cast("long"), F.col(end).cast("long")
+    # keys travel in a struct: it is never NULL itself, so joins and windows on it
+    # share one partitioning, and the summed events are shuffled once for both uses
+    entity = F.struct(*[F.col(k).alias(f"k{i}") for i, k in enumerate(keys)])
     events = (
         df.where(F.col(end) >= F.col(start))
         .select(
-            *[F.col(k).alias(a) for k, a in zip(keys, ks)],
+            entity.alias("k"),
             F.explode(
                 F.array(
                     F.struct(s.alias("pos"), F.lit(1).cast("long").alias("d")),
                     F.struct((e + 1).alias("pos"), F.lit(-1).cast("long").alias("d")),
                 )
-            ).alias("__e"),
+            ).alias("ev"),
         )
-        .select(*ks, F.col("__e.pos").alias("pos"), F.col("__e.d").alias("d"))
-        .groupBy(*ks, "pos")
+        .select("k", F.col("ev.pos").alias("pos"), F.col("ev.d").alias("d"))
+        .groupBy("k", "pos")
         .agg(F.sum("d").alias("d"))
         .where(F.col("d") != 0)
-        .withColumn("block", F.shiftright("pos", block_bits))
-        .repartition(*ks, "block")
+        .select(F.struct("k", F.shiftright("pos", block_bits).alias("block")).alias("kb"), "pos", "d")
     )
 
-    in_block = Window.partitionBy(*ks, "block").orderBy("pos")
-    local = events.select(
-        *ks, "block", "pos", "d", F.sum("d").over(in_block.rowsBetween(Window.unboundedPreceding, 0)).alias("n")
-    )
-    totals = events.groupBy(*ks, "block").agg(F.sum("d").alias("d"))
-    before = Window.partitionBy(*ks).orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    carry = totals.select(
-        *[F.col(k).alias(f"c{k}") for k in ks],
-        F.col("block").alias("c_block"),
-        F.coalesce(F.sum("d").over(before), F.lit(0).cast("long")).alias("carry"),
-    )
-    cond = F.col("block") == F.col("c_block")
-    for k in ks:
-        cond = cond & F.col(k).eqNullSafe(F.col(f"c{k}"))
-    active = local.join(carry, cond).select(*ks, "block", "pos", (F.col("carry") + F.col("n")).alias("after"), "d")
-    edges = active.where((F.col("after") == 0) | (F.col("after") == F.col("d"))).select(
-        *ks, "block", "pos", (F.col("after") > 0).alias("opens")
-    )
+    in_block = Window.partitionBy("kb").orderBy("pos")
+    local = events.select("kb", "pos", "d", F.sum("d").over(in_block.rowsBetween(Window.unboundedPreceding, 0)).alias("n"))
+    totals = events.groupBy("kb").agg(F.sum("d").alias("d"))
+    before = Window.partitionBy("kb.k").orderBy("kb.block").rowsBetween(Window.unboundedPreceding, -1)
+    carry = totals.select(F.col("kb").alias("c_kb"), F.coalesce(F.sum("d").over(before), F.lit(0).cast("long")).alias("carry"))
+    active = local.join(carry, F.col("kb") == F.col("c_kb")).select("kb", "pos", (F.col("carry") + F.col("n")).alias("after"), "d")
+    edges = active.where((F.col("after") == 0) | (F.col("after") == F.col("d"))).select("kb", "pos", (F.col("after") > 0).alias("opens"))
 
     # the next edge: within the block, or the first edge of the next block that has one
-    ordered = Window.partitionBy(*ks, "block").orderBy("pos")
     nexts = edges.select(
-        *ks, "block", "pos", "opens", F.lead("pos").over(ordered).alias("n1"), (F.row_number().over(ordered) == 1).alias("first")
+        "kb", "pos", "opens", F.lead("pos").over(in_block).alias("n1"), (F.row_number().over(in_block) == 1).alias("first")
     )
     outer = F.col("n1").isNull() | F.col("first")
-    at_rim = Window.partitionBy(*ks, F.when(outer, F.lit(-1).cast("long")).otherwise(F.col("block"))).orderBy("pos")
-    paired = nexts.select(*ks, "pos", "opens", F.coalesce("n1", F.lead("pos").over(at_rim)).alias("n"))
+    at_rim = Window.partitionBy("kb.k", F.when(outer, F.lit(-(1 << 40)).cast("long")).otherwise(F.col("kb.block"))).orderBy("pos")
+    paired = nexts.select("kb", "pos", "opens", F.coalesce("n1", F.lead("pos").over(at_rim)).alias("n"))
     return paired.where(F.col("n").isNotNull()).select(
-        *[F.col(a).alias(k) for k, a in zip(keys, ks)],
+        *[F.col(f"kb.k.k{i}").alias(k) for i, k in enumerate(keys)],
         F.when(F.col("opens"), "period").otherwise("gap").alias("kind"),
         F.col("pos").alias("range_start"),
         (F.col("n") - 1).alias("range_end"),

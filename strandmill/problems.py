@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from strandmill.functions.scalars import normalize_chrom
 from strandmill.operators import cover, manifests, orphans, row_patterns, schema_drift
-from strandmill.session import table
+from strandmill.session import table, written
 
 #: fixed values: the fields of a dataset's metadata that are followed through its versions
 SIDECAR_RULES = schema_drift.Rules(("type", "datasubtype", "probemap"))
@@ -87,7 +87,8 @@ def listing(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p3_found(spark: SparkSession, sf: str) -> DataFrame:
-    m = manifests.build_manifests(listing(spark, sf), "run_id", "name", "hash", "source_id")
+    # the manifests are a table of their own, written once and read by both sides of the difference
+    m = written(manifests.build_manifests(listing(spark, sf), "run_id", "name", "hash", "source_id"), "manifests")
     todo = manifests.to_process(m, table(spark, sf, "load_run"))
     return todo.select(F.col("version").alias("run_id"), F.col("rec").alias("source_id"))
 
@@ -107,7 +108,7 @@ where b.base is null or o.id is null
 def p3_runs(spark: SparkSession, sf: str) -> DataFrame:
     """Per run: how many states are added, changed, removed, unchanged, and how many records its deletion vector masks."""
     rows = listing(spark, sf)
-    m = manifests.build_manifests(rows, "run_id", "name", "hash", "source_id")
+    m = written(manifests.build_manifests(rows, "run_id", "name", "hash", "source_id"), "manifests")
     d = manifests.manifest_delta(m, table(spark, sf, "load_run")).select(F.col("version").alias("run_id"), "change")
     dv = manifests.deletion_vectors(rows, "run_id", "name", "hash", "source_id")
     masked = dv.select(F.col("version").alias("run_id"), F.lit("masked").alias("change"))

@@ -609,3 +609,139 @@ def stream_counts(spark, sf):
     rows.writeStream.foreachBatch(add).option("checkpointLocation", f"{at}/state").trigger(availableNow=True).start().awaitTermination()
     parts = spark.read.parquet(f"{at}/out")
     return parts.groupBy("event_type").agg(F.sum("n").alias("n"), F.max("last_id").alias("last_id"))
+
+
+# -- files ---------------------------------------------------------------------------
+def _loaded(spark: SparkSession, files: dict[str, str]) -> Catalog:
+    """Write files to a folder of their own in the shared folder, load them, and give the catalog."""
+    import uuid
+
+    from strandmill.sources.files import Files
+    from strandmill.sources.loader import Loader
+
+    at = f"{shared_dir(spark).rstrip('/')}/files-{uuid.uuid4().hex}".removeprefix("file://").removeprefix("file:")
+    out = Files(spark)
+    for name, text in files.items():
+        out.write(f"{at}/docs/{name}", text)
+    c = Catalog(spark)
+    loader = Loader(c, f"{at}/docs", f"{at}/store")
+    for name in files:
+        if not name.endswith(".json"):
+            loader.load(name)
+    return c
+
+
+def _nations(spark: SparkSession, sf: str) -> list:
+    """The 25 rows of a table of fixed size."""
+    return table(spark, sf, "nation").orderBy("n_nationkey").collect()
+
+
+@query("select n_name as \"sampleID\", n_nationkey::float as \"key\", case when n_regionkey <> 2 then 'R' || n_regionkey end as region from nation where n_regionkey in (0, 2, 3)")
+def ingest_clinical(spark, sf):
+    """A clinical table from its file: a float field, a category with missing cells, and a predicate on the float."""
+    rows = [f"{r.n_name}\t{r.n_nationkey}\t{r.n_regionkey}\t{'' if r.n_regionkey == 2 else f'R{r.n_regionkey}'}" for r in _nations(spark, sf)]
+    c = _loaded(spark, {"clin": "\n".join(["id\tkey\tregionkey\tregion", *rows]) + "\n", "clin.json": '{"type": "clinicalMatrix"}'})
+    q = {"select": ["sampleID", "key", "region"], "from": ["clin"], "where": ["in", "regionkey", [0, 2, 3, None]]}
+    return column_query(c, q).drop(ROW)
+
+
+@query(
+    """select n_name as "sampleID", case when n_nationkey % 5 <> 0 then n_nationkey * 1.5 end::float as p1, case when n_regionkey = 1 then 'one' else 'other' end as p2
+    from nation where n_regionkey = 1"""
+)
+def ingest_matrix(spark, sf):
+    """A matrix of fields by samples from its file, asked like a table."""
+    ns = _nations(spark, sf)
+    rows = [
+        ["probe", *[r.n_name for r in ns]],
+        ["p1", *["NA" if r.n_nationkey % 5 == 0 else str(r.n_nationkey * 1.5) for r in ns]],
+        ["p2", *["one" if r.n_regionkey == 1 else "other" for r in ns]],
+    ]
+    c = _loaded(spark, {"m": "\n".join("\t".join(r) for r in rows) + "\n"})
+    return column_query(c, {"select": ["sampleID", "p1", "p2"], "from": ["m"], "where": ["in", "p2", ["one"]]}).drop(ROW)
+
+
+@query(
+    """select row_number() over (order by 'chr' || (n_nationkey % 3 + 9), 1000 - n_nationkey) - 1 as row_no, n_name as name,
+      'chr' || (n_nationkey % 3 + 9) as chrom, 1000 - n_nationkey + 1 as chromstart, 2000 as chromend, list_sort(['G' || n_regionkey, 'X']) as genes from nation"""
+)
+def ingest_probemap(spark, sf):
+    """A file of positions: sorted by chromosome as text and start, starts counted from 0, genes as lists."""
+    lines = [f"{r.n_name}\tG{r.n_regionkey}, ,X\t{r.n_nationkey % 3 + 9}\t{1000 - r.n_nationkey}\t2e3\t+" for r in _nations(spark, sf)]
+    c = _loaded(spark, {"p": "\n".join(["#id\tgenes\tchr\tstart\tend\tstrand", "", *lines]) + "\n", "p.json": '{"type": "probeMap", "start_index": 0}'})
+    df = c.dataset("p").df
+    return df.select(
+        F.col(ROW).alias("row_no"), "name", "position.chrom", F.col("position.chromStart").alias("chromstart"), F.col("position.chromEnd").alias("chromend"),
+        F.array_sort("genes").alias("genes"),
+    )
+
+
+# -- more of the engine ------------------------------------------------------------------
+@query("select p_partkey, p_size from part where p_partkey in (3, 14, 159, 265)")
+def probe_lookup(spark, sf):
+    """Rows by a list of names."""
+    return column_query(catalog(spark, sf, "part"), {"select": ["p_partkey", "p_size"], "from": ["part"], "where": ["in", "p_partkey", [3, 14, 159, 265]]}).drop(ROW)
+
+
+@query(
+    """select a.l_suppkey as supp, b.l_linenumber as line, count(*) as n from (select l_orderkey, l_linenumber, l_suppkey from lineitem where l_linenumber = 1) a
+    join lineitem b on b.l_orderkey = a.l_orderkey and b.l_partkey > a.l_suppkey group by 1, 2"""
+)
+def join_theta(spark, sf):
+    """A join on one equality and one inequality."""
+    first = {":select": [":l-orderkey", ":l-suppkey"], ":from": [":lineitem"], ":where": [":=", ":l-linenumber", 1]}
+    q = {
+        ":select": [[":a.l-suppkey", ":supp"], [":b.l-linenumber", ":line"], [":%count.*", ":n"]], ":from": [[first, ":a"]],
+        ":join": [[":lineitem", ":b"], [":and", [":=", ":b.l-orderkey", ":a.l-orderkey"], [":>", ":b.l-partkey", ":a.l-suppkey"]]],
+        ":group-by": [":a.l-suppkey", ":b.l-linenumber"],
+    }
+    return relational_query(catalog(spark, sf, "lineitem"), q)
+
+
+@query("select p_partkey, row_number() over (order by p_brand, p_partkey) - 1 as row_no from part")
+def numbered_rows(spark, sf):
+    """Dense row numbers in a given order, without one window over all rows."""
+    from strandmill.catalog import with_rows
+
+    return with_rows(table(spark, sf, "part").select("p_brand", "p_partkey"), "p_brand", "p_partkey").select("p_partkey", F.col(ROW).alias("row_no"))
+
+
+@query(
+    """select n_regionkey, list_sort(list_distinct(list_concat(a, b))) as both, list_sort(list_filter(a, lambda x: not list_contains(b, x))) as only_a from
+    (select n_regionkey, list(n_name) as a, list(n_name) filter (n_nationkey % 2 = 0) as b from nation group by 1)"""
+)
+def sorted_sets(spark, sf):
+    """Union and difference of sorted string lists."""
+    g = table(spark, sf, "nation").groupBy("n_regionkey").agg(
+        F.collect_list("n_name").alias("a"), F.collect_list(F.when(F.col("n_nationkey") % 2 == 0, F.col("n_name"))).alias("b")
+    )
+    return g.select("n_regionkey", F.array_sort(F.array_union("a", "b")).alias("both"), F.array_sort(F.array_except("a", "b")).alias("only_a"))
+
+
+EXPRESSIONS = {
+    "(+ 5 2)": "7", "(/ 5 2)": "2.5", "(* [-1 0 1] [1 2 3] 2)": "[-2,0,6]", "(- [[1 2 3] [4 5 6]] [1 2 3])": "[[0,0,0],[3,3,3]]",
+    "((fn [f x] (f x)) (fn [x] (+ 1 x)) 3)": "4", "(let [a 2 b (* a a)] [a b])": "[2,4]", "(if nil 1 2)": "2", "(quote (1 2))": "[1,2]", "(apply + (quote (1 2 3)))": "6",
+    "(mean [[1 2 3] [4 nil 6]] 0)": "[[2.5,2,4.5]]", "(mean [[1 2 3] [4 nil 6]] 1)": "[[2],[5]]", "(map (fn [x] (get x :a 0)) [{:a 1} {}])": "[1,0]",
+    "(count (distinct [1 1 2]))": "2", "(car (cdr [1 2 3]))": "2", "(cons 0 [1])": "[0,1]", "(assoc {:a 1} :b 2)": '{"a":1,"b":2}', "(group-by :k [{:k \"x\"} {:k \"x\"}])": '{"x":[{"k":"x"},{"k":"x"}]}',
+    "(> 3 2)": "true", "(= [1 2] [1 2])": "true", "(/ 1 3)": "0.3333",
+}
+
+
+@query("select * from (values " + ", ".join(f"('{k}', '{v}')" for k, v in EXPRESSIONS.items()) + ") t(expression, answer)")
+def expressions(spark, sf):
+    """The expression language, with its answers as JSON."""
+    return spark.createDataFrame([(e, client.post(Catalog(spark), e)) for e in EXPRESSIONS], "expression string, answer string")
+
+
+@query(
+    """select c.k as pos, n_name, n_regionkey::double as value from (select unnest([0, 1, 2, 3]) k, unnest(['NATION_7', 'nowhere', 'NATION_3', 'NATION_7']) s) c
+    left join nation on n_name = c.s"""
+)
+def expression_fetch(spark, sf):
+    """A fetch through the expression language."""
+    c = Catalog(spark)
+    df = table(spark, sf, "nation").select(F.col("n_nationkey").alias(ROW), F.col("n_name").alias("sampleID"), F.col("n_regionkey").cast("double").alias("v"))
+    c.register("nations", df)
+    got = client.expression_json(c, '(fetch [{:table "nations" :columns ["v"] :samples ["NATION_7" "nowhere" "NATION_3" "NATION_7"]}])')[0]
+    names = ["NATION_7", None, "NATION_3", "NATION_7"]
+    return spark.createDataFrame([(i, n, None if v == "NaN" else float(v)) for i, (n, v) in enumerate(zip(names, got))], "pos int, n_name string, value double")
