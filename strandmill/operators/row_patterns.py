@@ -99,16 +99,16 @@ def whole_number(text: Column) -> Column:
 
 def headers(lines: DataFrame, schema: RowSchema, file: str, order: str, line: str) -> DataFrame:
     """One row per file: ``__f``, ``__hn`` (place of the header), ``__names``, ``__roles``, ``__pattern``."""
-    found = (
-        lines.where((F.trim(F.regexp_replace(line, r"\s+", " ")) != "") & F.col(order).isNotNull())
-        .groupBy(F.col(file).alias("__f"))
-        .agg(F.min(F.struct(F.col(order).alias("n"), F.col(line).alias("l"))).alias("h"))
-    )
-    names = F.transform(F.split(F.regexp_replace("h.l", r"^\s*#", ""), "\t", -1), bare)
+    # first the places, by hash aggregation of numbers; then the few lines there
+    some = lines.where((F.regexp_replace(line, r"\s+", "") != "") & F.col(order).isNotNull())
+    places = some.groupBy(F.col(file).alias("__pf")).agg(F.min(order).alias("__pn"))
+    at_place = F.col(file).eqNullSafe(F.col("__pf")) & (F.col(order) == F.col("__pn"))
+    found = some.join(places, at_place).groupBy(F.col(file).alias("__f"), F.col(order).alias("__hn")).agg(F.min(line).alias("__h"))
+    names = F.transform(F.split(F.regexp_replace("__h", r"^\s*#", ""), "\t", -1), bare)
     role = lambda x: F.coalesce(
         *[F.when(F.lower(x).isin(*names_), F.lit(r)) for r, names_ in schema.aliases.items()], F.lit("")
     )
-    first = found.select("__f", F.col("h.n").alias("__hn"), names.alias("__names")).withColumn(
+    first = found.select("__f", "__hn", names.alias("__names")).withColumn(
         "__roles", F.transform("__names", role)
     )
     # a role belongs to the first column that claims it

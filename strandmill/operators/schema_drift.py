@@ -100,6 +100,15 @@ def _rows(batches: Iterator[pd.DataFrame]) -> Iterator[tuple]:
         yield from pdf.itertuples(index=False, name=None)
 
 
+def _versions(batches: Iterator[pd.DataFrame]) -> Iterator[tuple]:
+    """The first row of each name, block and version."""
+    last = None
+    for row in _rows(batches):
+        if row[:3] != last:
+            last = row[:3]
+            yield row
+
+
 def _texts(keys: dict, standing: dict, rules: Rules) -> dict:
     """The cast rule: strings as they are, all else as JSON text; the default rule: NULL."""
     out = {}
@@ -129,12 +138,20 @@ def conform(
     ``newest`` columns, then the greatest text, is taken; an empty table gives
     an empty result; other columns are dropped.
     """
+    # copies are dropped by hash before they meet; the ties that are left are settled in the stream
+    order = [f"o{i}" for i in range(len(newest))]
     picked = (
         df.where(F.col(name).isNotNull() & F.col(version).isNotNull())
-        .groupBy(F.col(name).alias("name"), F.col(version).cast("long").alias("version"))
-        .agg(F.max(F.struct(*[F.col(c).alias(f"o{i}") for i, c in enumerate(newest)], F.col(content).alias("content"))).alias("m"))
-        .select("name", "version", F.shiftright("version", block_bits).alias("block"), F.col("m.content").alias("content"))
+        .select(
+            F.col(name).alias("name"),
+            F.col(version).cast("long").alias("version"),
+            F.shiftright(F.col(version).cast("long"), block_bits).alias("block"),
+            F.col(content).alias("content"),
+            *[F.col(c).alias(o) for c, o in zip(newest, order)],
+        )
+        .distinct()
     )
+    newest_first = [F.desc(c) for c in [*order, "content"]]
     long_names = picked.groupBy("name").agg(F.min("block").alias("a"), F.max("block").alias("b")).where("a < b").select("name")
 
     def transfers(batches):
@@ -143,7 +160,7 @@ def conform(
             return pd.DataFrame([{"name": n, "block": blk, "first": first, "last_version": last[0], "last": last[1], "map": json.dumps(states)}])
 
         at = None
-        for n, blk, ver, text in _rows(batches):
+        for n, blk, ver, text in _versions(batches):
             now = entries(text)
             if at != (n, blk):
                 if at:
@@ -173,7 +190,7 @@ def conform(
 
     def migrate(batches):
         out, at = [], None
-        for n, blk, ver, text, p_version, p_content, p_state in _rows(batches):
+        for n, blk, ver, text, p_version, p_content, p_state in _versions(batches):
             now = entries(text)
             if at != (n, blk):
                 at = (n, blk)
@@ -198,7 +215,7 @@ def conform(
     blocks = (
         picked.join(long_names, "name", "left_semi")
         .repartition("name", "block")
-        .sortWithinPartitions("name", "block", "version")
+        .sortWithinPartitions("name", "block", "version", *newest_first)
         .select("name", "block", "version", "content")
         .mapInPandas(transfers, "name string, block long, first string, last_version long, last string, map string")
     )
@@ -211,7 +228,7 @@ def conform(
     return (
         picked.join(incoming, ["name", "block"], "left")
         .repartition("name", "block")
-        .sortWithinPartitions("name", "block", "version")
+        .sortWithinPartitions("name", "block", "version", *newest_first)
         .select("name", "block", "version", "content", "p_version", "p_content", "p_state")
         .mapInPandas(migrate, f"name string, version long, prev_version long, fingerprint string, {values}, steps {STEPS}")
     )
