@@ -39,7 +39,7 @@ LABELS = {
 SAMPLE_ROWS, SAMPLE_FILES, MODEL_WORDS = 400, 8, 200_000
 #: cost of changing the language between two words, and the most one word can say for a language, in nats
 SWITCH, WORD_MOST = 9.0, 4.0
-LONG_UNITS = 20_000  # texts with more words are labelled one at a time
+GROUP_UNITS = 300_000  # words, padding included, that are labelled at once; a longer text is labelled by itself
 
 WORD = re.compile(r"[^\W\d_]+")
 PARAGRAPH = re.compile(r"\n[ \t\r\f\v]*\n\s*")
@@ -131,12 +131,19 @@ class Cache:
         self.table = np.zeros((max(1024, 2 * self.n), len(LANGS)), np.float32)
         self.table[: self.n] = model.scores
 
+    def zero(self) -> int:
+        """The number of a row of zeros, for padding."""
+        return self.ids[""] if "" in self.ids else self._row("", np.zeros(len(LANGS), np.float32))
+
     def add(self, w: str) -> int:
         if WIDE.search(w) and len(w) > 1:
             rows = [self.ids[c] if c in self.ids else self.add(c) for c in w]
             row = np.maximum(self.table[rows].sum(0), -3 * WORD_MOST)
         else:
             row = self.model.unknown(w)
+        return self._row(w, row)
+
+    def _row(self, w: str, row: np.ndarray) -> int:
         if self.n == len(self.table):
             self.table = np.concatenate([self.table, np.zeros_like(self.table)])
         self.table[self.n] = row
@@ -216,11 +223,16 @@ def fit(docs: DataFrame, id_col: str = "doc_id", rows: int = SAMPLE_ROWS, files:
 
 
 # -- labelling ---------------------------------------------------------------
-def viterbi(emit: np.ndarray, switch: float = SWITCH) -> np.ndarray:
-    """Best labels of several sequences at once: ``emit`` is (sequences, steps, languages), padded."""
-    b, steps, k = emit.shape
-    score = emit[:, 0].copy()
-    stay = np.ones((steps, b, k), bool)
+def viterbi(table: np.ndarray, ids: np.ndarray, switch: float = SWITCH) -> np.ndarray:
+    """Best labels of several sequences at once.
+
+    ``ids`` is (sequences, steps) of rows of ``table``, the scores by language.
+    Padding points to a row of zeros: it has no say, and the last real label
+    carries through it.
+    """
+    b, steps = ids.shape
+    score = table[ids[:, 0]]
+    stay = np.ones((steps, b, table.shape[1]), bool)
     best = np.zeros((steps, b), np.int8)
     rows = np.arange(b)
     for t in range(1, steps):
@@ -229,9 +241,8 @@ def viterbi(emit: np.ndarray, switch: float = SWITCH) -> np.ndarray:
         jump = score[rows, top][:, None] - switch
         keep = score >= jump
         stay[t] = keep
-        score = np.where(keep, score, jump) + emit[:, t]
+        score = np.where(keep, score, jump) + table[ids[:, t]]
     labels = np.zeros((b, steps), np.int8)
-    # padded steps have no say: their scores are 0, so the last real label carries through
     at = score.argmax(1)
     labels[:, steps - 1] = at
     for t in range(steps - 1, 0, -1):
@@ -256,9 +267,10 @@ def label_texts(cache: Cache, texts: list[str]) -> list[tuple]:
                 if i is None:
                     known = get(words[n])
                     seq[n] = cache.add(words[n]) if known is None else known
-        seqs.append(seq)
-        weights.append([len(w) for w in words])
+        seqs.append(np.array(seq, np.int32))
+        weights.append(np.fromiter(map(len, words), np.int32, len(words)))
         ends.append(end)
+    zero = cache.zero()
     table = cache.table
     out: list[tuple | None] = [None] * len(texts)
     order = sorted(range(len(texts)), key=lambda i: len(seqs[i]))
@@ -268,25 +280,32 @@ def label_texts(cache: Cache, texts: list[str]) -> list[tuple]:
         n = len(seqs[order[at]])
         group = [order[at]]
         at += 1
-        while at < len(order) and len(group) < 512 and len(seqs[order[at]]) <= max(1.3 * n, n + 20) and len(seqs[order[at]]) < LONG_UNITS:
+        while (
+            at < len(order)
+            and len(seqs[order[at]]) <= max(1.3 * n, n + 20)
+            and (len(group) + 1) * len(seqs[order[at]]) <= GROUP_UNITS
+        ):
             group.append(order[at])
             at += 1
-        length = np.array([len(seqs[i]) for i in group])
-        steps = max(1, int(length.max()))
-        emit = np.zeros((len(group), steps, k), np.float32)
+        steps = max(1, len(seqs[group[-1]]))
+        ids = np.full((len(group), steps), zero, np.int32)
         for g, i in enumerate(group):
-            if length[g]:
-                emit[g, : length[g]] = table[seqs[i]]
-        labels = viterbi(emit)
+            ids[g, : len(seqs[i])] = seqs[i]
+        labels = viterbi(table, ids)
         for g, i in enumerate(group):
-            n, end = length[g], np.array(ends[i])
-            para = np.repeat(np.arange(len(end)), np.diff(end, prepend=0))
-            chars = np.bincount(para * k + labels[g, :n], weights[i], minlength=len(end) * k).reshape(-1, k)
-            own = emit[g, np.arange(n), labels[g, :n]]
-            rest = emit[g, :n].copy()
-            rest[np.arange(n), labels[g, :n]] = -np.inf
-            lead = np.bincount(para * k + labels[g, :n], own - rest.max(1, initial=-np.inf), minlength=len(end) * k).reshape(-1, k)
-            out[i] = decide(chars, lead)
+            size = len(seqs[i])
+            end = np.array(ends[i])
+            slot = np.repeat(np.arange(len(end)), np.diff(end, prepend=0)) * k + labels[g, :size]
+            lead = np.zeros(len(end) * k)
+            for a in range(0, size, GROUP_UNITS):
+                score = table[seqs[i][a : a + GROUP_UNITS]]
+                mine = labels[g, a : min(a + GROUP_UNITS, size)]
+                row = np.arange(len(score))
+                own = score[row, mine]
+                score[row, mine] = -np.inf
+                lead += np.bincount(slot[a : a + GROUP_UNITS], own - score.max(1), minlength=len(lead))
+            chars = np.bincount(slot, weights[i], minlength=len(lead)).reshape(-1, k)
+            out[i] = decide(chars, lead.reshape(-1, k))
     return out
 
 
