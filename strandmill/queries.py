@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandmill import client
@@ -290,19 +290,16 @@ def dup_names_suffix(spark, sf):
 )
 def field_names(spark, sf):
     """The writer's rule on the catalog's own fields: names cut to 250 characters, repeats numbered."""
-    f = table(spark, sf, "field").distinct().where("dataset_id is not null and name is not null")
-    f = f.withColumn("__k", F.concat(F.lpad(F.col("dataset_id").cast("string"), 11, "0"), F.substring("name", 1, 250)))
-    n = F.row_number().over(Window.partitionBy("__k").orderBy("id", "name"))
     cut = F.substring("name", 1, 250)
-    return f.withColumn("n", n).select(
-        "id", F.when(F.col("n") == 1, cut).otherwise(F.concat(cut, F.lit(" ("), F.col("n").cast("string"), F.lit(")"))).alias("field"), (F.length("name") > 250).alias("long_name")
-    )
+    f = table(spark, sf, "field").distinct().where("dataset_id is not null and name is not null").withColumn("cut", cut)
+    ranked = A.rank_in_group(f, ["dataset_id", "cut"], ["id", "name"])
+    return ranked.select("id", A.suffixed(F.col("cut"), F.col("n")).alias("field"), (F.length("name") > 250).alias("long_name"))
 
 
-@query("select l_suppkey, list(l_linenumber order by l_orderkey * 8 + l_linenumber) as lines from lineitem where l_suppkey <= 5 group by 1")
+@query("select l_orderkey, list(l_partkey order by l_linenumber, l_partkey) as parts from lineitem group by 1")
 def group_by_rows(spark, sf):
-    df = table(spark, sf, "lineitem").where("l_suppkey <= 5").withColumn("o", F.col("l_orderkey") * 8 + F.col("l_linenumber"))
-    return A.rows_of_groups(df, "l_suppkey", "o", "l_linenumber", "lines")
+    """The rows of each group, in order."""
+    return A.rows_of_groups(table(spark, sf, "lineitem"), "l_orderkey", "l_linenumber", "l_partkey", "parts")
 
 
 @query("select max(n) as n_rows from (select l_suppkey, count(*) as n from lineitem group by 1)")

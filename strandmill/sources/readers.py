@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from strandmill.catalog import ROW, Dataset, Field, LoadError, dictionary, with_rows
 from strandmill.functions.scalars import MISSING_NUMBERS, normalize_chrom, parse_coordinate, parse_float_na, shift_int_csv, split_genes
+from strandmill.operators.aggregates import rank_in_group, suffixed
 
 MAX_NAME = 250
 SNIFF = 20
@@ -67,16 +68,11 @@ def unique_names(names: list[str]) -> list[str]:
 def number_names(df: DataFrame, name: str, *order: str) -> DataFrame:
     """Field names cut to ``MAX_NAME`` characters; repeated ones get `` (n)`` in file order.
 
-    Adds ``field``, ``__long`` and ``__dup``. A name's window holds its repeats only.
+    Adds ``field``, ``__long`` and ``__dup``.
     """
     cut = df.withColumn("__cut", F.substring(name, 1, MAX_NAME)).withColumn("__long", F.length(name) > MAX_NAME)
-    n = F.row_number().over(Window.partitionBy("__cut").orderBy(*order))
-    return (
-        cut.withColumn("__n", n)
-        .withColumn("field", F.when(F.col("__n") == 1, F.col("__cut")).otherwise(F.concat("__cut", F.lit(" ("), F.col("__n").cast("string"), F.lit(")"))))
-        .withColumn("__dup", F.col("__n") > 1)
-        .drop("__n", "__cut")
-    )
+    ranked = rank_in_group(cut, ["__cut"], list(order), "__n")
+    return ranked.withColumn("field", suffixed(F.col("__cut"), F.col("__n"))).withColumn("__dup", F.col("__n") > 1).drop("__n", "__cut")
 
 
 # -- matrices -----------------------------------------------------------------------
@@ -196,11 +192,12 @@ def read_clinical(spark: SparkSession, path: str, name: str, features: dict[str,
     rows = after(text, head).withColumn("__c", tabbed(F.col("line")))
     cols = [F.coalesce(F.get("__c", F.lit(i)), F.lit("")).alias(f"c{i}") for i in range(len(header))]
     raw = rows.select("__b", "__m", *cols)
-    again = raw.withColumn("__k", F.row_number().over(Window.partitionBy("c0").orderBy("__b", "__m")))
-    repeated = [r[0] for r in again.where("__k > 1").select("c0").distinct().take(10)]
+    # the first row of a sample counts
+    firsts = raw.groupBy(F.col("c0").alias("__id")).agg(F.min(F.struct("__b", "__m")).alias("__first"), F.count("*").alias("__copies"))
+    repeated = [r[0] for r in firsts.where("__copies > 1").select("__id").take(10)]
     if repeated:
         warnings["duplicate-keys"] = {"sampleID": repeated}
-    raw = again.where("__k = 1")
+    raw = raw.join(firsts, (F.col("c0") == F.col("__id")) & (F.struct("__b", "__m") == F.col("__first"))).select(raw["*"])
     numeric = raw.agg(*[F.every(is_float(F.col(f"c{i}"))).alias(f"c{i}") for i in range(1, len(header))]).first() if len(header) > 1 else {}
     fields = {"sampleID": Field("sampleID", "category")}
     out = [F.col("c0").alias("sampleID")]
