@@ -182,8 +182,67 @@ def p5_found(spark: SparkSession, sf: str) -> DataFrame:
     return c.select("name", F.col("version").cast("int").alias("version"), "field", "change").distinct()
 
 
+_CHROM = """case when regexp_matches(lower(trim({0})), '^(chr)?[0-9]+$') then 'chr' || regexp_replace(lower(trim({0})), '^chr', '')
+  when regexp_matches(lower(trim({0})), '^(chr)?[xym]$') then 'chr' || upper(right(trim({0}), 1)) else trim({0}) end"""
+_CELL = "vals[list_position(list_transform(hs, lambda x: x in ({0})), true)]"
+P2_VALID = (
+    _P2
+    + f"""select distinct source_id, line_no, vname as name, {_CHROM.format(_CELL.format("'chrom', 'chr'"))} as chrom, s::int as chromstart, e::int as chromend,
+  case when len(g) > 0 then g end as genes, {_CELL.format("'strand'")} as strand
+from (select *, list_filter(list_transform(string_split({_CELL.format("'gene', 'genes'")}, ','), lambda x: trim(x)), lambda x: x <> '') as g from x where reason is null)"""
+)
+
+P3_RUNS = """
+with st as (select distinct c.run_id, s.name, lower(s.hash) h, s.id from source_scan c join source s on s.id = c.source_id where s.name is not null),
+all_e as (select run_id, name, h, min(id) id from st group by 1, 2, 3),
+e as (select * from all_e where run_id in (select run_id from load_run)),
+ok as (select distinct run_id from load_run where status = 'ok'),
+p as (select distinct run_id, name from e),
+b as (select p.run_id, p.name, (select max(q.run_id) from p q join ok using (run_id) where q.name = p.name and q.run_id < p.run_id) as base from p),
+now as (select e.run_id, case when b.base is null then 'added' when o.id is null then 'changed' else 'unchanged' end as change
+  from e join b using (run_id, name) left join e o on o.run_id = b.base and o.name = e.name and o.h is not distinct from e.h),
+gone as (select b.run_id, 'removed' as change from b join e o on o.run_id = b.base and o.name = b.name
+  where not exists (select 1 from e where e.run_id = b.run_id and e.name = b.name and e.h is not distinct from o.h)),
+masked as (select st.run_id, 'masked' as change from st join all_e a on a.run_id = st.run_id and a.name = st.name and a.h is not distinct from st.h where st.id <> a.id)
+select run_id, change, count(*) as n from (select * from now union all select * from gone union all select * from masked) group by 1, 2
+"""
+
+_P5 = """
+with recursive s as (select name, version, arg_max(content, (received, sidecar_id, content)) as content from sidecar where name is not null and version is not null group by 1, 2),
+v as (select *, row_number() over (partition by name order by version) as n from s),
+k as (select name, version, n, content, unnest(json_keys(content)) as key from v where json_valid(content) and json_type(content) = 'OBJECT'),
+e as (select name, n, key, val, case when t in ('BIGINT', 'UBIGINT', 'HUGEINT', 'DOUBLE') then 'number' else lower(t) end as t from
+  (select name, n, key, json_extract(content, '$."' || key || '"') as val, json_type(json_extract(content, '$."' || key || '"')) as t from k) where t <> 'NULL'),
+f as (select unnest(['type', 'datasubtype', 'probemap']) as field),
+own as (select name, n, field, min(key) as own from e join f on regexp_replace(lower(key), '[:_. -]', '', 'g') = field group by 1, 2, 3),
+-- the only key of a version that is new and has the value of a key that is gone
+heir as (select a.name, a.n, a.key as old, min(b.key) as heir from e a join e b on b.name = a.name and b.n = a.n + 1 and b.t = a.t and b.val::varchar = a.val::varchar
+  where not exists (select 1 from e p where p.name = a.name and p.n = a.n and p.key = b.key)
+    and not exists (select 1 from e q where q.name = a.name and q.n = a.n + 1 and q.key = a.key) group by 1, 2, 3 having count(*) = 1),
+-- what each key of a version turns into, for each field ('' stands for no key)
+keys as (select name, n, key from e union all select name, n, '' from v),
+step as (select keys.name, keys.n, f.field, keys.key as old, case when same.key is not null then same.key when own.own is not null then own.own else heir.heir end as new
+  from keys cross join f join v on v.name = keys.name and v.n = keys.n + 1
+  left join e same on same.name = keys.name and same.n = keys.n + 1 and same.key = keys.key
+  left join own on own.name = keys.name and own.n = keys.n + 1 and own.field = f.field
+  left join heir on heir.name = keys.name and heir.n = keys.n and heir.old = keys.key),
+r as (select v.name, v.n, f.field, null::varchar as prev, own.own as held from v cross join f left join own on own.name = v.name and own.n = 1 and own.field = f.field where v.n = 1
+  union all
+  select r.name, r.n + 1, r.field, r.held, step.new from r join step on step.name = r.name and step.n = r.n and step.field = r.field and step.old = coalesce(r.held, '')),
+h as (select r.name, v.version, r.n, r.field, r.prev, r.held, a.t as t0, b.t as t1, b.val as val from r join v on v.name = r.name and v.n = r.n
+  left join e a on a.name = r.name and a.n = r.n - 1 and a.key = r.prev left join e b on b.name = r.name and b.n = r.n and b.key = r.held)
+"""
+P5_FOUND = (
+    _P5
+    + """select name, version, field, change from h, (select unnest(['added', 'removed', 'renamed', 'retyped']) as change) c where n > 1 and case change
+  when 'added' then prev is null and held is not null when 'removed' then prev is not null and held is null
+  when 'renamed' then prev is not null and held is not null and prev <> held else prev is not null and held is not null and t0 <> t1 end"""
+)
+
 QUERIES = {
     f.__name__: f for f in (p1_found, p2_found, p2_valid, p3_found, p3_runs, p4_found, p4_cascade, p5_found, p5_table)
 }
 
-SQL = {"p1_found": P1_FOUND, "p2_found": P2_FOUND, "p3_found": P3_FOUND, "p4_found": P4_FOUND}
+SQL = {
+    "p1_found": P1_FOUND, "p2_found": P2_FOUND, "p2_valid": P2_VALID, "p3_found": P3_FOUND, "p3_runs": P3_RUNS, "p4_found": P4_FOUND, "p5_found": P5_FOUND,
+}

@@ -584,10 +584,13 @@ def vector_minus(spark, sf):
     return table(spark, sf, "embeddings").select("vec_id", d.alias("v"))
 
 
-@query()
+@query(
+    """select c_custkey, case when x = floor(x) then x::bigint::varchar else format('{:.4g}', x::float::double) end as text
+    from (select c_custkey, (c_acctbal + 20000) / 700 as x from customer)"""
+)
 def float_format(spark, sf):
-    """Balances with at most four significant digits."""
-    return table(spark, sf, "customer").select("c_custkey", short_float_column(F.col("c_acctbal") / 7).alias("text"))
+    """Numbers with at most four significant digits."""
+    return table(spark, sf, "customer").select("c_custkey", short_float_column((F.col("c_acctbal") + 20000) / 700).alias("text"))
 
 
 @query("select event_type, count(*) as n, max(event_id) as last_id from events group by 1")
