@@ -44,13 +44,13 @@ def field_values_df(dataset: DataFrame, field: DataFrame, code: DataFrame, field
     """Codes of the fields of a name, in the given datasets."""
     d = dataset.select(F.col("id").alias("d_id"))
     f = field.where(F.col("name") == field_name).select(F.col("id").alias("f_id"), "dataset_id")
-    return d.join(f, F.col("d_id") == F.col("dataset_id")).join(code, F.col("field_id") == F.col("f_id")).select("value")
+    return d.join(f, F.col("d_id") == F.col("dataset_id")).join(code, F.col("field_id") == F.col("f_id")).select("value", "ordering")
 
 
 def all_samples(catalog: Catalog, cohort: str) -> list[str]:
     """The samples of a cohort's datasets."""
     df = field_values_df(_dataset(catalog, cohort=cohort), catalog.system("field"), catalog.system("code"), "sampleID")
-    return _list(df.distinct())
+    return _list(df.select("value").distinct())
 
 
 def datasets_list(catalog: Catalog) -> list[str]:
@@ -72,8 +72,9 @@ def dataset_field(catalog: Catalog, dataset: str) -> list[str]:
 
 
 def dataset_samples(catalog: Catalog, dataset: str) -> list[str]:
+    """The samples of a dataset, in the order of their codes."""
     df = field_values_df(_dataset(catalog, name=dataset), catalog.system("field"), catalog.system("code"), "sampleID")
-    return _list(df)
+    return _list(df.orderBy("ordering").select("value"))
 
 
 def dataset_probe_values(catalog: Catalog, dataset: str, samples: list[str], probes: list[str]) -> list[list[float]]:
