@@ -17,13 +17,19 @@ def leaked(spark: SparkSession, sf: str) -> DataFrame:
 
 def p6_found(spark: SparkSession, sf: str) -> DataFrame:
     """Documents and items that share a passage."""
-    return leaked(spark, sf).select("item_id", "doc_id")
+    return leaked(spark, sf).select("item_id", "doc_id").distinct()
 
 
 def p6_spans(spark: SparkSession, sf: str) -> DataFrame:
-    """The word ranges to remove from each document, overlapping passages merged."""
-    spans = cover(leaked(spark, sf), ["doc_id"], "first_word", "last_word")
-    return spans.where("kind = 'period'").select("doc_id", F.col("range_start").alias("first_word"), F.col("range_end").alias("last_word"))
+    """The stretches to remove from each document, overlapping passages merged."""
+    spans = cover(leaked(spark, sf), ["doc_id"], "first_char", "last_char")
+    return spans.where("kind = 'period'").select("doc_id", F.col("range_start").alias("first_char"), F.col("range_end").alias("last_char"))
+
+
+def p6_clean(spark: SparkSession, sf: str) -> DataFrame:
+    """All documents without the passages they share with an item: id and number of characters left."""
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    return leaks.remove(docs, p6_spans(spark, sf)).select("doc_id", F.length("text").alias("n_chars"))
 
 
 def sized_documents(spark: SparkSession, sf: str) -> DataFrame:
@@ -98,5 +104,5 @@ def p8_found(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select("doc_id", "c.seg_no", "c.lang").distinct()
 
 
-QUERIES = {f.__name__: f for f in (p6_found, p6_spans, p7_mix, p7_shares, p8_found, p8_languages)}
+QUERIES = {f.__name__: f for f in (p6_found, p6_spans, p6_clean, p7_mix, p7_shares, p8_found, p8_languages)}
 SQL: dict[str, str] = {}
