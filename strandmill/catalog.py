@@ -289,13 +289,3 @@ class Catalog:
 
 def _text(v) -> str | None:
     return None if v is None else v if isinstance(v, str) else str(v)
-
-
-def dictionary(df: DataFrame, name: str) -> DataFrame:
-    """Codes of a category column by first occurrence: ``field``, ``ordering``, ``value``.
-
-    The distinct values are numbered by ranges of their first row, without one
-    window over all of them.
-    """
-    first = df.where(F.col(f"`{name}`").isNotNull()).groupBy(F.col(f"`{name}`").alias("value")).agg(F.min(ROW).alias("__first"))
-    return with_rows(first, "__first").select(F.lit(name).alias("field"), F.col(ROW).cast("int").alias("ordering"), F.col("value").cast("string").alias("value"))

@@ -21,13 +21,13 @@ def group_concat(df: DataFrame, keys: list[str], value: str, order: str, name: s
 
 
 def first_codes(df: DataFrame, value: str, order: str) -> DataFrame:
-    """``value``, ``code``: distinct values numbered by first occurrence.
+    """``value``, ``code``: distinct values numbered from 0 by first occurrence.
 
-    The window runs over the distinct values only, after the aggregation; for
-    dictionaries of many values :func:`strandmill.catalog.dictionary` numbers by ranges.
+    The distinct values are numbered over ranges, so a dictionary of any size
+    is never in one task. NULL has no code.
     """
     first = df.where(F.col(value).isNotNull()).groupBy(value).agg(F.min(order).alias("__first"))
-    return first.select(value, (F.dense_rank().over(Window.orderBy("__first")) - 1).alias("code"))
+    return with_rows(first, "__first", value).select(value, F.col(ROW).alias("code"))
 
 
 def rows_of_groups(df: DataFrame, key: str, order: str, value: str, name: str = "rows") -> DataFrame:

@@ -162,9 +162,23 @@ where l.dataset_id is not null and l.dataset_id not in (select id from dataset w
 """
 
 
+def field_references(spark: SparkSession, sf: str) -> list[orphans.Reference]:
+    """Further down the graph: fields to datasets, and the fields that positions belong to."""
+    none = F.lit(None).cast("timestamp").alias("time")
+    fields = table(spark, sf, "field").select(F.col("id").alias("row_id"), F.col("dataset_id").alias("ref"), F.lit(None).cast("string").alias("key"), none).distinct()
+    datasets = table(spark, sf, "dataset").select(F.col("id").alias("key"), F.lit(True).alias("live"), none).distinct()
+    of_positions = table(spark, sf, "field_position").select("field_id").distinct()
+    positions = of_positions.select(F.col("field_id").alias("row_id"), F.col("field_id").alias("ref"), F.lit(None).cast("string").alias("key"), none)
+    known = fields.select(F.col("row_id").alias("key"), F.lit(True).alias("live"), none)
+    return [
+        orphans.Reference("field", fields, "dataset", datasets, by="row_id"),
+        orphans.Reference("field_position", positions, "field", known, by="row_id"),
+    ]
+
+
 def p4_cascade(spark: SparkSession, sf: str) -> DataFrame:
-    """Direct and inherited orphans per table and month."""
-    all_orphans = orphans.cascade(catalog_references(spark, sf))
+    """Direct and inherited orphans per table and month, down to the fields that positions belong to."""
+    all_orphans = orphans.cascade(catalog_references(spark, sf) + field_references(spark, sf))
     return all_orphans.groupBy("table_name", "period", "kind", "depth").agg(F.count("*").alias("n"))
 
 

@@ -13,9 +13,9 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from strandmill.catalog import ROW, Dataset, Field, LoadError, dictionary, with_rows
+from strandmill.catalog import ROW, Dataset, Field, LoadError, with_rows
 from strandmill.functions.scalars import MISSING_NUMBERS, normalize_chrom, parse_coordinate, parse_float_na, shift_int_csv, split_genes
-from strandmill.operators.aggregates import rank_in_group, suffixed
+from strandmill.operators.aggregates import first_codes, rank_in_group, suffixed
 
 MAX_NAME = 250
 SNIFF = 20
@@ -349,6 +349,8 @@ def table_codes(ds: Dataset) -> DataFrame | None:
             if bad:
                 raise LoadError(f"Invalid state {bad[0]['value']} for feature {n}")
         else:
-            part = dictionary(ds.df, n)
+            part = first_codes(ds.df.select(F.col(f"`{n}`").cast("string").alias("value"), ROW), "value", ROW).select(
+                F.lit(n).alias("field"), F.col("code").cast("int").alias("ordering"), "value"
+            )
         out = part if out is None else out.unionByName(part)
     return out
