@@ -10,14 +10,14 @@ from strandmill.operators.cover import cover
 from strandmill.session import spread, table, written
 
 
-def leaked(spark: SparkSession, sf: str) -> DataFrame:
+def leaked(spark: SparkSession, sf: str, places: bool = True) -> DataFrame:
     docs = table(spark, sf, "documents").select("doc_id", "text")
-    return leaks.find(spread(docs), table(spark, sf, "eval_items"))
+    return leaks.find(spread(docs), table(spark, sf, "eval_items"), places=places)
 
 
 def p6_found(spark: SparkSession, sf: str) -> DataFrame:
     """Documents and items that share a passage."""
-    return leaked(spark, sf).select("item_id", "doc_id").distinct()
+    return leaked(spark, sf, places=False).select("item_id", "doc_id").distinct()
 
 
 def p6_spans(spark: SparkSession, sf: str) -> DataFrame:
