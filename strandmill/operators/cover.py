@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-BLOCK_BITS = 18
+BLOCK_BITS = 20
 
 
 def cover(
