@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -27,24 +29,35 @@ def shared_dir(spark: SparkSession) -> str:
     return at
 
 
+#: per thread: folders of the tables written inside its ``scratch`` blocks
+_kept = threading.local()
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back.
 
     Cuts the lineage, survives the loss of executors, and gives the planner
-    true sizes for later joins.
+    true sizes for later joins. The files stay until the folder is emptied,
+    unless the call is inside :func:`scratch`.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
     df.write.mode("overwrite").parquet(path)
+    if blocks := getattr(_kept, "blocks", None):
+        blocks[-1].append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def forget(spark: SparkSession, df: DataFrame) -> None:
-    """Delete the files of a table made by :func:`written`."""
-    jvm = spark._jvm
-    for file in df.inputFiles()[:1]:
-        path = jvm.org.apache.hadoop.fs.Path(file).getParent()
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Delete the tables written inside the block when it ends; what is kept must have been stored elsewhere."""
+    _kept.blocks = [*getattr(_kept, "blocks", []), []]
+    try:
+        yield
+    finally:
+        for path in _kept.blocks.pop():
+            at = spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -52,14 +65,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def null_safe(left: DataFrame, right: DataFrame, pairs: list[tuple[str, str]]):
-    """Join condition that treats NULL keys as equal."""
-    cond = F.lit(True)
-    for a, b in pairs:
-        cond = cond & left[a].eqNullSafe(right[b])
-    return cond
-
-
 def spread(df: DataFrame) -> DataFrame:
     """``df``, over at least as many partitions as there are cores.
 

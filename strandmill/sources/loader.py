@@ -14,6 +14,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from strandmill.catalog import ROW, Catalog, Dataset, Field, LoadError
+from strandmill.session import scratch
 from strandmill.sources import metadata as md
 from strandmill.sources import readers
 from strandmill.sources.files import Files
@@ -77,7 +78,8 @@ class Loader:
         try:
             if feature_file in behind:
                 features = md.parse_features(self.files.text(posixpath.join(self.docroot, feature_file)))
-            ds = self._read(kind, full, name, features, int(meta.get("start_index", 1)))
+            with scratch(self.catalog.spark):
+                ds = self._read(kind, full, name, features, int(meta.get("start_index", 1)))
         except Exception as e:
             ds = Dataset(name, {}, df=self.catalog.spark.createDataFrame([], f"{ROW} long"), meta={"status": "error", "metadata": {**metadata, "error": str(e)}})
         else:

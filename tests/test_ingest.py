@@ -224,3 +224,17 @@ def test_matrix_round_trip(spark, tmp_path):
             got = fetch(c, [{"table": f"{kind}{n}", "columns": list(data), "samples": order}])
             for g, v in zip(got, data.values()):
                 assert same(g, [v[samples.index(s)] for s in order])
+
+
+def test_loading_leaves_no_scratch_tables(spark, lab):
+    from strandmill.session import scratch, shared_dir, written
+
+    c, loader, *_ = lab
+    files = Files(spark)
+    before = set(files.names(shared_dir(spark)))
+    loader.load("clin")
+    assert set(files.names(shared_dir(spark))) == before
+    with scratch(spark):
+        df = written(spark.range(3), "x")
+        assert df.count() == 3 and len(files.names(shared_dir(spark))) == len(before) + 1
+    assert set(files.names(shared_dir(spark))) == before
