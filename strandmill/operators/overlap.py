@@ -10,20 +10,25 @@ from strandmill.functions.scalars import BIN_FIRST_SHIFT, BIN_NEXT_SHIFT, BIN_OF
 LEVELS = len(BIN_OFFSETS)
 
 
-def _level(start: Column, end: Column) -> Column:
-    """The finest level at which an interval fits one bin; beyond the last level, one bin for all."""
-    out = None
-    for level in range(LEVELS):
-        s = BIN_FIRST_SHIFT + BIN_NEXT_SHIFT * level
-        c = F.shiftright(start, s) == F.shiftright(end, s)
-        out = F.when(c, F.lit(level)) if out is None else out.when(c, F.lit(level))
-    return out.otherwise(F.lit(LEVELS))
-
-
 def _bin(pos: Column, level: int) -> Column:
+    """The bin of a position; beyond the last level there is one bin for all."""
     return F.shiftright(pos, BIN_FIRST_SHIFT + BIN_NEXT_SHIFT * level) if level < LEVELS else F.lit(0).cast("long")
 
 
+def _slot(level: int, bin_: Column) -> Column:
+    return F.struct(F.lit(level).alias("level"), bin_.alias("bin"))
+
+
+def _home(start: Column, end: Column) -> Column:
+    """The finest bin that holds an interval whole."""
+    out = None
+    for level in range(LEVELS):
+        fits = _bin(start, level) == _bin(end, level)
+        slot = _slot(level, _bin(start, level))
+        out = F.when(fits, slot) if out is None else out.when(fits, slot)
+    return out.otherwise(_slot(LEVELS, _bin(start, LEVELS)))
+
+
 def overlap_join(
     left: DataFrame, right: DataFrame, on: tuple[str, str], left_range: tuple[str, str], right_range: tuple[str, str], how: str = "inner"
 ) -> DataFrame:
@@ -44,24 +49,19 @@ def overlap_join(
     (ls, le), (rs, re_) = left_range, right_range
     a = left.where((F.col(le) >= F.col(ls)) & F.col(on[0]).isNotNull())
     b = right.where((F.col(re_) >= F.col(rs)) & F.col(on[1]).isNotNull())
-    s, e = F.col(ls).cast("long"), F.col(le).cast("long")
-    level = _level(s, e)
-    at = F.lit(0).cast("long")
-    for v in range(LEVELS):
-        at = F.when(level == v, _bin(s, v)).otherwise(at)
-    placed = a.withColumn("__level", level).withColumn("__bin", at)
+    # one expression for level and bin keeps the plan small: the optimizer copies key expressions into its filters
+    placed = a.withColumn("__home", _home(F.col(ls).cast("long"), F.col(le).cast("long")))
 
     start, end = F.col(rs).cast("long"), F.col(re_).cast("long")
 
-    def touched(v: int) -> Column:
-        return F.transform(F.sequence(_bin(start, v), _bin(end, v)), lambda x: F.struct(F.lit(v).alias("level"), x.alias("bin")))
+    def touched(level: int) -> Column:
+        return F.transform(F.sequence(_bin(start, level), _bin(end, level)), lambda x: _slot(level, x))
 
-    visiting = b.withColumn("__v", F.explode(F.concat(*[touched(v) for v in range(LEVELS + 1)])))
+    visiting = b.withColumn("__visit", F.explode(F.concat(*[touched(v) for v in range(LEVELS + 1)])))
     cond = (
         (placed[on[0]] == visiting[on[1]])
-        & (F.col("__level") == F.col("__v.level"))
-        & (F.col("__bin") == F.col("__v.bin"))
+        & (F.col("__home") == F.col("__visit"))
         & (placed[ls] <= visiting[re_])
         & (placed[le] >= visiting[rs])
     )
-    return placed.join(visiting, cond, how).drop("__v", "__level", "__bin")
+    return placed.join(visiting, cond, how).drop("__home", "__visit")
