@@ -17,6 +17,10 @@ from strandmill.catalog import ROW, Catalog, Dataset, QueryError
 NUMBERS = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType, T.DecimalType)
 
 
+#: longer lists of values become a semi-join
+LONG_LIST = 2000
+
+
 def word(x) -> str:
     """The text of a keyword or a string."""
     return str(getattr(x, "name", x)).lstrip(":")
@@ -45,8 +49,8 @@ def fields_of(pred) -> list[str]:
     raise QueryError(f"not a predicate: {pred!r}")
 
 
-def literals(values, kind: T.DataType) -> list:
-    """Values of a membership test in the field's type; NULLs never match."""
+def plain_values(values, kind: T.DataType) -> list:
+    """Values of a membership test, as numbers or texts; what can't match is left out."""
     out = []
     for v in values:
         if v is None:
@@ -57,12 +61,18 @@ def literals(values, kind: T.DataType) -> list:
             except (TypeError, ValueError):
                 continue
             if f == f:
-                out.append(F.lit(f).cast(kind) if isinstance(kind, (T.FloatType, T.DoubleType, T.DecimalType)) else F.lit(f))
+                out.append(f)
         else:
-            out.append(F.lit(str(v)))
+            out.append(str(v))
     return out
 
 
+def literals(values, kind: T.DataType) -> list:
+    """Values of a membership test in the field's type; NULLs never match."""
+    real = isinstance(kind, (T.FloatType, T.DoubleType, T.DecimalType))
+    return [F.lit(v).cast(kind) if real else F.lit(v) for v in plain_values(values, kind)]
+
+
 def member(c: Column, kind: T.DataType, values) -> Column:
     """``c`` is one of ``values``; a missing value is in no set."""
     lits = literals(values, kind)
@@ -116,6 +126,14 @@ def predicate(pred, ds: Dataset, schema: T.StructType, case_sensitive_genes: boo
     return F.coalesce(F.exists(c, among), F.lit(False))
 
 
+def split_lists(pred, ds: Dataset) -> tuple[list, object]:
+    """Long lists of plain values that every row must pass, and the rest of the predicate."""
+    terms = list(pred[1:]) if is_op(pred, "and") else [pred]
+    long = [t for t in terms if is_op(t, "in") and len(t) == 3 and len(t[2]) > LONG_LIST and ds.fields.get(word(t[1])) and ds.fields[word(t[1])].type in ("float", "category")]
+    rest = [t for t in terms if not any(t is x for x in long)]
+    return long, ["and", *rest]
+
+
 def column_query(catalog: Catalog, query: dict, case_sensitive_genes: bool = False) -> DataFrame:
     """``__row`` and the selected fields of the rows that match, in row order.
 
@@ -131,7 +149,14 @@ def column_query(catalog: Catalog, query: dict, case_sensitive_genes: bool = Fal
     select = list(dict.fromkeys(word(s) for s in part(query, "select") or []))
     where = part(query, "where")
     df = ds.columns([*select, *[f for f in fields_of(where) if f not in select]])
-    df = df.where(predicate(where, ds, df.schema, case_sensitive_genes)).select(ROW, *[F.col(f"`{s}`") for s in select])
+    long, rest = split_lists(where, ds) if where else ([], None)
+    df = df.where(predicate(rest, ds, df.schema, case_sensitive_genes))
+    for _, name, values in long:
+        kind = df.schema[word(name)].dataType
+        rows = catalog.spark.createDataFrame([(v,) for v in plain_values(values, kind)], "v double" if isinstance(kind, NUMBERS) else "v string")
+        # a semi-join; the planner broadcasts the list after a check of its size
+        df = df.join(rows.select(F.col("v").cast(kind).alias("__v") if isinstance(kind, (T.FloatType, T.DoubleType)) else F.col("v").alias("__v")), F.col(f"`{word(name)}`") == F.col("__v"), "left_semi")
+    df = df.select(ROW, *[F.col(f"`{s}`") for s in select])
     limit, offset = part(query, "limit"), part(query, "offset")
     df = df.orderBy(ROW)
     if offset:

@@ -39,6 +39,16 @@ def test_membership(cat):
     assert ask(cat, ["in", "sampleID", []]) == []
 
 
+def test_long_lists(cat, monkeypatch):
+    from strandmill.plans import column_query as C
+
+    monkeypatch.setattr(C, "LONG_LIST", 1)
+    assert ask(cat, ["in", "sampleID", ["s1", None, "s1"]]) == [0, 2]
+    assert ask(cat, ["and", ["in", "v", [1.5, 4, NAN, None, "x"]], ["in", "sampleID", ["s1", "s2", "s9"]]]) == [0]
+    assert ask(cat, ["or", ["in", "v", [1.5, 4]], ["in", "sampleID", ["s2", "s9"]]]) == [0, 1, 4]
+    assert ask(cat, ["and", ["in", "genes", ["genea", "geneb"]], ["in", "v", [2.5, 4]]], limit=1, offset=1) == [4]
+
+
 def test_gene_lists(cat):
     assert ask(cat, ["in", "any", "genes", ["GENEA"]]) == [0, 4]
     assert ask(cat, ["in", "genes", ["genec", None]]) == [1, 4]
