@@ -5,7 +5,9 @@ its normalised words is built, the items' phrases are searched backward through
 the wavelet-matrix ranks, and for every place of an item the shortest phrase
 that ends there and is rare in the shard is located by sampled positions. Hits
 of one item and text that lie on about the same diagonal are merged into spans;
-a span that covers enough of the item is checked exactly.
+a span that covers enough of the item is checked exactly. So is, whatever its
+phrases, every window that holds as many words of the item, in any order, as
+its share needs.
 """
 
 from __future__ import annotations
@@ -13,7 +15,7 @@ from __future__ import annotations
 import html
 import re
 import unicodedata
-from collections import defaultdict
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -233,6 +235,44 @@ def merge_spans(item: np.ndarray, doc: np.ndarray, ipos: np.ndarray, dpos: np.nd
             yield int(item[a]), int(doc[a]), int(diag[a]), int(diag[b - 1])
 
 
+def crowded(items: Items, texts: list[np.ndarray]) -> Iterator[tuple[int, int, int, int]]:
+    """Item, text and stretch of all windows that hold as many words of the item, in any order, as its share needs.
+
+    That is necessary for a share case, so none is left out. An occurrence of
+    a word that the item has m times counts in the windows that end before
+    the m-th next one; a sum over starts and ends of these gives all windows.
+    """
+    if not texts:
+        return
+    size = np.array([len(t) + 1 for t in texts])
+    starts = np.concatenate([[0], np.cumsum(size)])
+    s = np.concatenate([x for t in texts for x in (t, [END])])
+    at = np.flatnonzero(s > 1)
+    at = at[np.argsort(s[at], kind="stable")].astype(np.int32)
+    stop = np.repeat(starts[1:] - 1, size).astype(np.int32)[at]
+    begin = np.concatenate([[0, 0, 0], np.cumsum(np.bincount(s, minlength=len(items.vocab) + 2)[2:])])
+    for i, seq in enumerate(items.seqs):
+        need = max(int(np.ceil(SHARE * len(seq))), COVER)
+        width = int(np.ceil(STRETCH * len(seq)))
+        steps = np.zeros(len(s) + 1, np.int32)
+        ends = []
+        for w, m in Counter(seq).items():
+            p, last = at[begin[w] : begin[w + 1]], stop[begin[w] : begin[w + 1]]
+            steps[p] = 1
+            end = np.minimum(p + width, last)
+            np.minimum(end[:-m], p[m:], out=end[:-m])
+            ends.append(end)
+        steps -= np.bincount(np.concatenate(ends), minlength=len(steps)).astype(np.int32)
+        full = np.flatnonzero(np.cumsum(steps, dtype=np.int32) >= need)
+        if not len(full):
+            continue
+        doc = np.searchsorted(starts, full, side="right") - 1
+        new = np.flatnonzero((np.diff(full, prepend=-width - 1) > width) | (np.diff(doc, prepend=-1) > 0))
+        for first, last in zip(new, np.append(new[1:], len(full)) - 1):
+            d = int(doc[first])
+            yield i, d, max(0, int(full[first] - starts[d]) - width + 1), int(full[last] - starts[d]) + 1
+
+
 def search_shard(items: Items, texts: list[np.ndarray]) -> Iterator[tuple[int, int, int, float, int, int]]:
     """Cases in one shard: item, text, run, share, first and last word of the passage."""
     # words that no item has can't match: runs of them shrink to one
@@ -254,13 +294,22 @@ def search_shard(items: Items, texts: list[np.ndarray]) -> Iterator[tuple[int, i
     doc = np.searchsorted(starts, at, side="right") - 1
     item = items.owner[ends]
     ipos = ends - length + 1 - items.offset[item]
+    found: dict[tuple[int, int], list[tuple[int, int]]] = defaultdict(list)
     for i, d, low, high in merge_spans(item, doc, ipos, place[at], length, items.size):
         size = int(items.size[i])
         slack = size // 4 + 4
         seq = texts[d]
         a, b = max(0, low - slack), min(len(seq), high + size + slack)
         if case := judge(items, i, seq[a:b].tolist()):
+            found[i, d].append((a + case[2], a + case[3]))
             yield i, d, case[0], case[1], a + case[2], a + case[3]
+    for i, d, a, b in crowded(items, texts):
+        # what is found already is left out of the stretch
+        for x, y in [*sorted(found[i, d]), (b, b)] if (i, d) in found else [(b, b)]:
+            part = texts[d][a : min(x, b)].tolist()
+            if common(items.mask(i), int(items.size[i]), part) >= SHARE * items.size[i] and (case := judge(items, i, part)):
+                yield i, d, case[0], case[1], a + case[2], a + case[3]
+            a = max(a, y)
 
 
 def find(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", places: bool = True) -> DataFrame:

@@ -154,3 +154,18 @@ def test_passages_are_removed(spark):
     found = K.find(docs, frame)
     got = {r["doc_id"]: r["text"] for r in K.remove(docs, found).collect()}
     assert got == {1: "Before  after.", 2: " " + "filler " * 200, 3: "nothing", 4: None}
+
+
+def damaged(ws, every, keep, other):
+    """The words with only the first ``keep`` of every ``every`` kept."""
+    return [w if k % every < keep else other(k) for k, w in enumerate(ws)]
+
+
+def test_copies_of_a_damaged_passage():
+    """No run of 18 words, and every stretch as often in the shard as the document has copies."""
+    items, _, _ = make()
+    bit = " ".join(damaged(items[4][1], 6, 5, lambda k: f"zz{'abcdefghij'[k % 10]}"))
+    docs = [f"{'filler ' * (d % 7)}{bit} end" for d in range(40)]
+    block = K.Items(items)
+    seqs = [np.array([block.vocab.get(w, 1) for w in K.words(t)], np.int64) for t in docs]
+    assert {(block.ids[i], d) for i, d, *_ in K.search_shard(block, seqs)} == {(4, d) for d in range(40)}
