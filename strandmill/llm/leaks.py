@@ -2,12 +2,10 @@
 
 The corpus is cut into shards of whole texts. For each shard an FM-index over
 its normalised words is built, the items' phrases are searched backward through
-the wavelet-matrix ranks, and for every place of an item the shortest phrase
-that ends there and is rare in the shard is located by sampled positions. Hits
-of one item and text that lie on about the same diagonal are merged into spans;
-a span that covers enough of the item is checked exactly. So is, whatever its
-phrases, every window that holds as many words of the item, in any order, as
-its share needs.
+the wavelet-matrix ranks, and every place of a phrase as long as a run is located
+by sampled positions. Hits of one item and text that lie on about the same
+diagonal are merged into spans and checked exactly. So is, whatever its phrases,
+every window that holds as many words of the item, in any order, as its share needs.
 """
 
 from __future__ import annotations
@@ -27,10 +25,10 @@ from strandmill.llm.fm_index import END, FMIndex
 
 #: words of a run that is a case by itself; share of an item's words, in order, within a passage of its length
 RUN, SHARE, STRETCH = 18, 0.6, 1.2
-#: words of a shard; most places of a phrase to be rare in it; words of the items searched at once
-SHARD_WORDS, RARE, BLOCK_WORDS = 1 << 20, 12, 200_000
-#: least words of a phrase that is located, and of an item that its spans must cover before the exact check
-LEAST, COVER = 3, 7
+#: words of a shard; words of the items searched at once
+SHARD_WORDS, BLOCK_WORDS = 1 << 20, 200_000
+#: least words of an item that a passage must hold: fewer are a short quotation, even of a very short item
+COVER = 7
 
 TAG = re.compile(r"</?[A-Za-z!][^<>]*>")
 HYPHEN = re.compile(r"[-­‐‑][^\S\n]*\n\s*(?=\w)")
@@ -193,10 +191,12 @@ def judge(items: Items, i: int, seq: list[int]) -> tuple[int, float, int, int] |
         stops = max(1, len(seq) - width + 1)
         stride = max(1, size // 16)
         starts = [*range(0, stops, stride), stops - 1]
-        best, a = max((common(mask, size, seq[x : x + width]), -x) for x in starts)
+        got = {x: common(mask, size, seq[x : x + width]) for x in starts}
+        best, a = max((n, -x) for x, n in got.items())
         a = -a
-        if best < need <= best + stride:
-            near = range(max(0, a - stride), min(stops, a + stride + 1))
+        # a window a stride further has at most so many words more
+        near = {y for x, n in got.items() if best < need <= n + stride for y in range(max(0, x - stride), min(stops, x + stride + 1))}
+        if near:
             best, a = max((common(mask, size, seq[x : x + width]), -x) for x in near)
             a = -a
     if best >= need:
@@ -285,7 +285,7 @@ def search_shard(items: Items, texts: list[np.ndarray]) -> Iterator[tuple[int, i
         doc_start.append(doc_start[-1] + len(keep) + 1)
     place = np.concatenate(keep_parts)
     index = FMIndex(np.concatenate(sym_parts), len(items.vocab) + 2)
-    ends, length, lo, hi = index.shortest_rare(items.phrase, items.start, RARE, LEAST, RUN)
+    ends, length, lo, hi = index.shortest_rare(items.phrase, items.start, 0, RUN, RUN)
     count = hi - lo
     rows = np.repeat(lo, count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
     at = index.locate(rows)

@@ -169,3 +169,12 @@ def test_copies_of_a_damaged_passage():
     block = K.Items(items)
     seqs = [np.array([block.vocab.get(w, 1) for w in K.words(t)], np.int64) for t in docs]
     assert {(block.ids[i], d) for i, d, *_ in K.search_shard(block, seqs)} == {(4, d) for d in range(40)}
+
+
+def test_stretches_of_one_or_two_words():
+    """67 % of the words in order, never three in a row."""
+    items, _, _ = make()
+    docs = [" ".join(["filler"] * 30 + damaged(ws, 3, 2, lambda k: "zz") + ["filler"] * 30) for _, ws in items]
+    block = K.Items(items)
+    seqs = [np.array([block.vocab.get(w, 1) for w in K.words(t)], np.int64) for t in docs]
+    assert {(block.ids[i], d) for i, d, *_ in K.search_shard(block, seqs)} == {(i, i) for i in range(12)}
