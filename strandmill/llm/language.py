@@ -35,8 +35,8 @@ LABELS = {
     "zh": ("zh", "zho", "chi", "cn", "cmn", "chinese", "中文", "汉语", "漢語"),
 }
 
-#: bounds of the fit: labelled rows per language, files they come from, words kept in the model
-SAMPLE_ROWS, SAMPLE_FILES, MODEL_WORDS = 400, 8, 200_000
+#: bounds of the fit: labelled rows per language, words kept in the model; rows below which a language's own counts have less say
+SAMPLE_ROWS, MODEL_WORDS, FEW_ROWS = 400, 200_000, 20
 #: cost of changing the language between two words, and the most one word can say for a language, in nats
 SWITCH, WORD_MOST = 9.0, 4.0
 GROUP_UNITS = 300_000  # words, padding included, that are labelled at once; a longer text is labelled by itself
@@ -84,7 +84,9 @@ class Model:
 
     def __init__(self, counts: dict[str, dict[int, int]], grams_: dict[str, dict[int, int]], totals: list[int]):
         n = len(LANGS)
-        size = np.asarray(totals, float) + 1
+        total = np.asarray(totals, float)
+        whole = max(1.0, total.sum())
+        sure = np.minimum(1, total / min(FEW_ROWS, max(1.0, total.max())))
 
         def table(entries: dict[str, dict[int, int]], scale: float) -> tuple[dict, np.ndarray]:
             m = np.zeros((len(entries), n))
@@ -93,8 +95,11 @@ class Model:
                 ids[k] = i
                 for lang, c in by.items():
                     m[i, lang] = c
-            # smoothing keeps wrong labels of the sample from counting as evidence
-            p = (m + 0.002 * m.sum(1, keepdims=True) + 0.05) / size
+            # smoothing keeps wrong labels of the sample from counting as evidence; it is relative to a
+            # language's rows, and one with few or none has about the mean of all, which is never the most
+            every = m.sum(1, keepdims=True)
+            p = (m + 0.002 * every) / np.maximum(total + 0.002 * whole, 1e-9)
+            p = sure * p + (1 - sure) * every / whole + 0.05 / (total.max() + 0.002 * whole)
             p = np.log(p / p.max(1, keepdims=True)) if len(p) else p
             return ids, np.maximum(p * scale, -WORD_MOST).astype(np.float32)
 
@@ -152,27 +157,28 @@ class Cache:
         return self.n - 1
 
 
-def sample(docs: DataFrame, id_col: str, rows: int = SAMPLE_ROWS, files: int = SAMPLE_FILES) -> DataFrame:
-    """Labelled rows for the fit: ``lang``, ``text``; at most ``rows`` a language from at most ``files`` files.
+def sample(docs: DataFrame, id_col: str, rows: int = SAMPLE_ROWS) -> DataFrame:
+    """Labelled rows for the fit: ``lang``, ``text``; at most ``rows`` a language, out of all rows.
 
-    Files and rows are chosen by hash, so the choice is the same in every run
-    and doesn't follow the order of the table. The rank is limited per
-    partition before it shuffles.
+    Rows are chosen by hash, so the choice is the same in every run and
+    doesn't follow the order of the table or its files. A first pass over
+    labels and ids finds the highest hash of each language that is chosen, so
+    the second has only the texts of the chosen rows to rank. Both ranks are
+    limited per partition before they shuffle.
     """
-    paths = docs.inputFiles()
-    if len(paths) > files:
-        import hashlib
-
-        chosen = sorted(paths, key=lambda p: hashlib.sha1(p.rsplit("/", 1)[-1].encode()).digest())[:files]
-        docs = docs.sparkSession.read.schema(docs.schema).parquet(*chosen)
-    labelled = docs.select(label_language(F.col("lang")).alias("lang"), "text", F.xxhash64(F.col(id_col), F.lit(7)).alias("h")).where(
-        "lang is not null and text is not null"
-    )
+    lang, h = label_language(F.col("lang")), F.xxhash64(F.col(id_col), F.lit(7))
     rank = F.row_number().over(Window.partitionBy("lang").orderBy("h"))
-    return labelled.withColumn("r", rank).where(F.col("r") <= rows).select("lang", "text")
+    labelled = docs.where(lang.isNotNull() & F.col("text").isNotNull())
+    first = labelled.select(lang.alias("lang"), h.alias("h")).withColumn("r", rank).where(F.col("r") <= rows)
+    most = {r["lang"]: r["h"] for r in first.groupBy("lang").agg(F.max("h").alias("h")).collect()}  # one row a language
+    near = F.lit(False)
+    for x, top in sorted(most.items()):
+        near = near | ((lang == x) & (h <= top))
+    chosen = labelled.where(near).select(lang.alias("lang"), "text", h.alias("h"))
+    return chosen.withColumn("r", rank).where(F.col("r") <= rows).select("lang", "text")
 
 
-def fit(docs: DataFrame, id_col: str = "doc_id", rows: int = SAMPLE_ROWS, files: int = SAMPLE_FILES, words: int = MODEL_WORDS) -> Model:
+def fit(docs: DataFrame, id_col: str = "doc_id", rows: int = SAMPLE_ROWS, words: int = MODEL_WORDS) -> Model:
     """Word and trigram counts per language of the sample, counted by the executors.
 
     The driver gets at most ``words`` words (those in most rows) with their counts.
@@ -192,7 +198,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", rows: int = SAMPLE_ROWS, files:
         )
 
     table = (
-        sample(docs, id_col, rows, files)
+        sample(docs, id_col, rows)
         .mapInArrow(count, "w string, lang string, n long")
         .groupBy("w")
         .agg(F.collect_list(F.struct("lang", "n")).alias("m"), F.sum("n").alias("n"))

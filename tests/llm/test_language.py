@@ -110,3 +110,34 @@ def test_agreement_with_labels_of_the_test_tables(spark):
     got = L.identify(docs, L.fit(docs.select("doc_id", "lang", "text")), label_col="lang").where("label is not null")
     share = got.agg(F.avg((F.col("label") == F.col("lang")).cast("int"))).first()[0]
     assert share > 0.9
+
+
+def test_sample_is_of_all_files(spark, tmp_path):
+    """One language lies in the last of many files, wherever that ranks."""
+    rnd = random.Random(4)
+    langs = [x for x in L.LANGS if x != "pt"]
+    for f in range(24):
+        rows = [(f * 40 + i, langs[i % 9] if f else "pt", say(langs[i % 9] if f else "pt", 40, rnd)) for i in range(40)]
+        spark.createDataFrame(rows, "doc_id long, lang string, text string").coalesce(1).write.mode("append").parquet(str(tmp_path / "d.parquet"))
+    docs = spark.read.parquet(str(tmp_path / "d.parquet"))
+    counts = {r["lang"]: r["count"] for r in L.sample(docs, "doc_id", 30).groupBy("lang").count().collect()}
+    assert counts == dict.fromkeys(L.LANGS, 30)
+
+
+@pytest.mark.parametrize("few", [0, 1])
+def test_a_language_without_rows_takes_no_others(few):
+    """Smoothing is relative to a language's rows: without any, it outscores no other; with one wrong one, hardly ever."""
+    rnd = random.Random(5)
+    counts, totals = {}, [0] * len(L.LANGS)
+    for i, lang in enumerate(L.LANGS):
+        for k in range(few if lang == "pt" else 200):
+            totals[i] += 1
+            for w in set(L.units(say("en" if lang == "pt" else lang, 12, rnd))):
+                by = counts.setdefault(w, {})
+                by[i] = by.get(i, 0) + 1
+    model = L.Model({w: by for w, by in counts.items() if sum(by.values()) > 1}, {}, totals)
+    texts = {x: say(x, 40, rnd) for x in L.LANGS if x != "pt"}
+    got = L.label_texts(L.Cache(model), list(texts.values()))
+    assert [r[0] for r in got] == list(texts)
+    pt = L.LANGS.index("pt")
+    assert all(s[pt] < s.max() for s in model.scores)
