@@ -209,6 +209,41 @@ def judge(items: Items, i: int, seq: list[int]) -> tuple[int, float, int, int] |
     return (run, max(best, run) / size, run_end - run, run_end) if run >= RUN else None
 
 
+def runs(mask: dict[int, int], seq: list[int]) -> Iterator[tuple[int, int, int]]:
+    """Every common run of at least ``RUN`` words that can't be extended and lies in no longer one: words, first and end in ``seq``."""
+    tail: dict[int, int] = {}  # place of the item where a common run ends -> its words
+    longest = []  # most words of a run that ends at each word of seq
+    for w in seq:
+        m, new = mask.get(w, 0), {}
+        while m:
+            k = (m & -m).bit_length()
+            new[k] = tail.get(k - 1, 0) + 1
+            m &= m - 1
+        tail = new
+        longest.append(max(new.values(), default=0))
+    for at, n in enumerate(longest):
+        # the run goes on at the next word if that has one more
+        if n >= RUN and (at + 1 == len(longest) or longest[at + 1] <= n):
+            yield n, at + 1 - n, at + 1
+
+
+def passages(items: Items, i: int, seq: list[int]) -> Iterator[tuple[int, float, int, int]]:
+    """All cases of item ``i`` within ``seq``, like :func:`judge`: share passages beside each other, and every run outside of them."""
+    size, mask = int(items.size[i]), items.mask(i)
+    todo, whole = [(0, len(seq))], []
+    while todo:
+        a, b = todo.pop()
+        case = judge(items, i, seq[a:b]) if common(mask, size, seq[a:b]) >= SHARE * size else None
+        if case and case[1] >= SHARE:
+            x, y = a + case[2], a + case[3]
+            whole.append((x, y))
+            yield case[0], case[1], x, y
+            todo += [(a, x), (y, b)]
+    for n, x, y in runs(mask, seq):
+        if not any(p <= x and y <= q for p, q in whole):
+            yield n, n / size, x, y
+
+
 def merge_spans(item: np.ndarray, doc: np.ndarray, ipos: np.ndarray, dpos: np.ndarray, length: np.ndarray, size: np.ndarray):
     """Hits -> (item, doc, low and high diagonal) of the groups whose spans cover enough of the item.
 
@@ -294,26 +329,28 @@ def search_shard(items: Items, texts: list[np.ndarray]) -> Iterator[tuple[int, i
     doc = np.searchsorted(starts, at, side="right") - 1
     item = items.owner[ends]
     ipos = ends - length + 1 - items.offset[item]
-    found: dict[tuple[int, int], list[tuple[int, int]]] = defaultdict(list)
-    for i, d, low, high in merge_spans(item, doc, ipos, place[at], length, items.size):
-        size = int(items.size[i])
-        slack = size // 4 + 4
-        seq = texts[d]
-        a, b = max(0, low - slack), min(len(seq), high + size + slack)
-        if case := judge(items, i, seq[a:b].tolist()):
-            found[i, d].append((a + case[2], a + case[3]))
-            yield i, d, case[0], case[1], a + case[2], a + case[3]
+    groups = merge_spans(item, doc, ipos, place[at], length, items.size)
+    stretches = [(i, d, low - int(items.size[i]) // 4 - 4, high + int(items.size[i]) * 5 // 4 + 4) for i, d, low, high in groups]
+    found: dict[tuple[int, int], set[tuple[int, float, int, int]]] = defaultdict(set)
+    # runs are in the stretches of the index, so of the others only those with a share matter
     for i, d, a, b in crowded(items, texts):
-        # what is found already is left out of the stretch
-        for x, y in [*sorted(found[i, d]), (b, b)] if (i, d) in found else [(b, b)]:
-            part = texts[d][a : min(x, b)].tolist()
-            if common(items.mask(i), int(items.size[i]), part) >= SHARE * items.size[i] and (case := judge(items, i, part)):
-                yield i, d, case[0], case[1], a + case[2], a + case[3]
-            a = max(a, y)
+        if common(items.mask(i), int(items.size[i]), texts[d][a:b].tolist()) >= SHARE * items.size[i]:
+            stretches.append((i, d, a, b))
+    for i, d, a, b in stretches:
+        a, seq = max(0, a), texts[d]
+        for run, share, x, y in passages(items, i, seq[a:b].tolist()):
+            found[i, d].add((run, share, a + x, a + y))
+    for (i, d), cases in found.items():
+        last = -1
+        # one that lies within another is not told again
+        for run, share, a, b in sorted(cases, key=lambda c: (c[2], -c[3], -c[1])):
+            if b > last:
+                last = b
+                yield i, d, run, share, a, b
 
 
 def find(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", places: bool = True) -> DataFrame:
-    """Every passage that a document and an item share.
+    """Every passage that a document and an item share; those of one item can overlap, but none lies within another.
 
     ``item_id``, ``doc_id``, ``run`` (longest common run of words), ``share``
     (of the item's words found in order), and the passage as ``first_char``

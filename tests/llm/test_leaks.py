@@ -178,3 +178,14 @@ def test_stretches_of_one_or_two_words():
     block = K.Items(items)
     seqs = [np.array([block.vocab.get(w, 1) for w in K.words(t)], np.int64) for t in docs]
     assert {(block.ids[i], d) for i, d, *_ in K.search_shard(block, seqs)} == {(i, i) for i in range(12)}
+
+
+def test_every_run_of_a_group():
+    """52 of 96 words with one of them damaged: two runs on one diagonal; and a run beside a whole passage."""
+    words_ = ["".join("abcdefghij"[int(c)] for c in f"{k:03}") for k in range(96)]
+    block = K.Items([(1, words_)])
+    ids = [block.vocab[w] for w in words_]
+    half = [1] * 9 + ids[:26] + [1] + ids[27:53] + [1] * 9
+    both = [1] * 9 + ids[:20] + [1] * 12 + ids + [1] * 9
+    got = list(K.search_shard(block, [np.array(half, np.int64), np.array(both, np.int64)]))
+    assert {(d, run, a, b) for _, d, run, _, a, b in got} == {(0, 26, 9, 35), (0, 26, 36, 62), (1, 20, 9, 29), (1, 96, 41, 137)}
