@@ -1,14 +1,20 @@
 """Incremental processing by differences of immutable table versions.
 
-A *manifest* lists the file entries of one version of a table: ``version``,
-``path``, ``fingerprint`` (equal content, equal fingerprint) and ``rec``, the
-entry's live record. Further records of the same entry are masked by the
-version's *deletion vector*. A run is given the records that are live in its
-version and were not live in the state left by the successful runs before it; a
-version whose run did not succeed leaves no state, so nothing of it is skipped
-later or repeated.
-
-``versioned.py`` has the same differences for tables of files on disk.
+Every run's listing is a version of a table. Its *files* are (path,
+fingerprint), where equal content has an equal fingerprint; its *records* are
+the ids listed for a file. Of several records of one file the smallest is live,
+the others are masked by the version's *deletion vector*. :func:`publish`
+writes the records of all versions once and commits a manifest for each;
+:func:`manifest_delta` compares the manifest of a version with that of the last
+successful version of each path: files only in the new one are added, files
+only in the old one are removed, and the deletion vectors tell which records
+these stand for. :func:`plan_runs` commits the records that each run has to
+process, together with the last version they cover, to a table of the same
+kind: a plan that dies before its commit leaves nothing, one that has committed
+is never made again.
+
+A version whose run did not succeed leaves no state, so nothing of it is
+skipped later or repeated.
 """
 
 from __future__ import annotations
@@ -16,89 +22,107 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-
-def _listed(listing: DataFrame, version: str, path: str, fingerprint: str, rec: str) -> DataFrame:
-    return listing.select(
-        F.col(version).alias("version"),
-        F.col(path).alias("path"),
-        F.lower(fingerprint).alias("fingerprint"),
-        F.col(rec).alias("rec"),
-    ).where("version is not null and path is not null and rec is not null")
+from strandmill.operators.versioned import VersionedTable
 
 
 def build_manifests(listing: DataFrame, version: str, path: str, fingerprint: str, rec: str) -> DataFrame:
-    """Manifests from a listing of states.
-
-    Fingerprints are compared without letter case. Where a version lists the
-    same path and fingerprint under several records, the smallest record is
-    live. Repeated rows count once; rows with a NULL version, path or record
-    belong to no manifest; a NULL fingerprint is a content of its own. Other
-    columns are dropped. The aggregation combines before it shuffles, so copies
-    of one entry never meet in one task.
+    """The records of all versions: ``version``, ``path``, ``fingerprint``, ``rec``, ``dead`` (masked by the deletion vector).
+
+    Fingerprints are compared without letter case. Repeated rows count once;
+    rows with a NULL version, path or record belong to no manifest; a NULL
+    fingerprint is a content of its own. Other columns are dropped. Copies and
+    records of one file are folded before they shuffle, so a file with very
+    many records meets its one least record and never lies in one task.
     """
-    rows = _listed(listing, version, path, fingerprint, rec)
-    return rows.groupBy("version", "path", "fingerprint").agg(F.min("rec").alias("rec"))
+    rows = (
+        listing.select(
+            F.col(version).cast("long").alias("version"), F.col(path).cast("string").alias("path"),
+            F.lower(fingerprint).alias("fingerprint"), F.col(rec).cast("long").alias("rec"),
+        )
+        .where("version is not null and path is not null and rec is not null")
+    )
+    key = F.struct("version", "path", "fingerprint")  # a struct with NULLs inside equals itself
+    least = rows.groupBy(key.alias("k")).agg(F.min("rec").alias("live"))
+    return rows.distinct().join(least, key == F.col("k")).select("version", "path", "fingerprint", "rec", (F.col("rec") > F.col("live")).alias("dead"))
+
+
+def deletion_vectors(manifests: DataFrame) -> DataFrame:
+    """The masked records of each version: ``version``, ``path``, ``fingerprint``, ``rec``."""
+    return manifests.where("dead").drop("dead")
 
 
-def deletion_vectors(listing: DataFrame, version: str, path: str, fingerprint: str, rec: str) -> DataFrame:
-    """The masked records of each version: ``version``, ``path``, ``fingerprint``, ``rec``."""
-    rows = _listed(listing, version, path, fingerprint, rec).distinct()
-    live = build_manifests(listing, version, path, fingerprint, rec).select(
-        F.col("version").alias("v"), F.col("path").alias("p"), F.col("fingerprint").alias("f"), F.col("rec").alias("live")
-    )
-    cond = (F.col("version") == F.col("v")) & (F.col("path") == F.col("p")) & F.col("fingerprint").eqNullSafe(F.col("f"))
-    return rows.join(live, cond).where(F.col("rec") != F.col("live")).select("version", "path", "fingerprint", "rec")
+def publish(source: VersionedTable, listing: DataFrame, version: str, path: str, fingerprint: str, rec: str) -> int:
+    """Write the records of the versions the table does not have yet and commit their manifests as one; the last version.
 
+    The versions that a commit holds are in its ``about``. Listing the same
+    version again adds nothing.
+    """
+    done = max((v for n in source.versions() for v in source.manifest(n)["about"]["versions"]), default=None)
+    new = listing if done is None else listing.where(F.col(version) > done)
+    held = lambda rows: {"versions": sorted(r[0] for r in rows.select("version").distinct().collect())}  # noqa: E731 - one a run
+    return source.commit(build_manifests(new, version, path, fingerprint, rec), about=held)
 
-def manifest_delta(manifests: DataFrame, runs: DataFrame, version: str = "run_id", status: str = "status") -> DataFrame:
-    """What each run has to do: ``version``, ``path``, ``fingerprint``, ``rec``, ``change``.
 
-    ``change`` is ``added`` (no successful earlier version has the path),
-    ``changed`` (the latest that has it lists other content), ``removed`` (an
-    old content of a changed path; ``rec`` is the old record) or ``unchanged``.
-    A path that a version does not list keeps its state. Versions without a run
-    are no versions. A run succeeded only if its status is ``ok``; a run listed
-    twice succeeded if one of its rows says so. Empty manifests give no rows.
+def manifest_delta(manifests: DataFrame, runs: DataFrame, version: str = "run_id", status: str = "status", after: int | None = None) -> DataFrame:
+    """What each run has to do: ``version``, ``path``, ``fingerprint``, ``rec``, ``change``.
 
-    Windows hold one row per version: of a path, and of a path's content.
+    The manifest of every version (beyond ``after``) is compared, path by path,
+    with the manifest of the last successful version before it that lists the
+    path. A file in both is ``unchanged``; one that only the new one has is
+    ``added`` if no earlier version counts for its path, else ``changed``; one
+    that only the old one has is ``removed`` (``rec`` is the old record). Files
+    stand for their live records. A path that a version does not list keeps its
+    state. Versions without a run are no versions. A run succeeded only if its
+    status is ``ok``; a run listed twice succeeded if one of its rows says so.
+    Empty manifests give no rows.
+
+    The one window holds a row per version of a path.
     """
-    ok = runs.groupBy(F.col(version).alias("version")).agg(
+    ok = runs.where(F.col(version).isNotNull()).groupBy(F.col(version).cast("long").alias("version")).agg(
         F.max(F.coalesce(F.col(status) == "ok", F.lit(False))).alias("ok")
     )
+    live = manifests.where(~F.col("dead")).select("version", "path", "fingerprint", "rec")
     # grows with the number of runs only; the planner broadcasts it after a check of its size
-    known = manifests.join(ok, "version")
-    earlier = lambda *by: Window.partitionBy(*by).orderBy("version").rowsBetween(Window.unboundedPreceding, -1)
-    done = F.when(F.col("ok"), F.col("version"))
+    known = live.join(ok, "version")
+    earlier = Window.partitionBy("path").orderBy("version").rowsBetween(Window.unboundedPreceding, -1)
     bases = (
         known.groupBy("path", "version")
         .agg(F.max("ok").alias("ok"))
-        .withColumn("base", F.max(done).over(earlier("path")))
+        .withColumn("base", F.max(F.when(F.col("ok"), F.col("version"))).over(earlier))
         .select(F.col("path").alias("b_path"), F.col("version").alias("b_version"), "base")
     )
-    seen = known.withColumn("seen", F.max(done).over(earlier("path", "fingerprint")))
-    placed = seen.join(bases, (F.col("path") == F.col("b_path")) & (F.col("version") == F.col("b_version")))
-    kept = (
-        F.when(F.col("base").isNull(), "added").when(F.col("seen") == F.col("base"), "unchanged").otherwise("changed")
-    )
-    listed = placed.select("version", "path", "fingerprint", "rec", kept.alias("change"))
-
-    old = manifests.select(
-        F.col("version").alias("o_version"), F.col("path").alias("o_path"), "fingerprint", "rec"
-    ).join(bases.where("base is not null"), (F.col("o_path") == F.col("b_path")) & (F.col("o_version") == F.col("base")))
-    now = manifests.select(
-        F.col("version").alias("n_version"), F.col("path").alias("n_path"), F.col("fingerprint").alias("n_fingerprint")
+    if after is not None:
+        bases = bases.where(F.col("b_version") > after)
+    new = known.join(bases, (F.col("path") == F.col("b_path")) & (F.col("version") == F.col("b_version"))).select(
+        "version", "path", "fingerprint", F.col("rec").alias("new"), F.lit(None).cast("long").alias("old"), F.col("base").isNotNull().alias("had")
     )
-    same = (
-        (F.col("b_version") == F.col("n_version"))
-        & (F.col("o_path") == F.col("n_path"))
-        & F.col("fingerprint").eqNullSafe(F.col("n_fingerprint"))
+    old = live.join(bases, (F.col("path") == F.col("b_path")) & (F.col("version") == F.col("base"))).select(
+        F.col("b_version").alias("version"), "path", "fingerprint", F.lit(None).cast("long").alias("new"), F.col("rec").alias("old"), F.lit(True).alias("had")
     )
-    gone = old.join(now, same, "left_anti").select(
-        F.col("b_version").alias("version"), F.col("o_path").alias("path"), "fingerprint", "rec", F.lit("removed").alias("change")
+    both = new.unionByName(old).groupBy("version", "path", "fingerprint").agg(F.max("new").alias("new"), F.max("old").alias("old"), F.max("had").alias("had"))
+    change = (
+        F.when(F.col("new").isNull(), "removed").when(F.col("old").isNotNull(), "unchanged").when(F.col("had"), "changed").otherwise("added")
     )
-    return listed.unionByName(gone)
+    return both.select("version", "path", "fingerprint", F.coalesce("new", "old").alias("rec"), change.alias("change"))
+
+
+def plan_runs(source: VersionedTable, sink: VersionedTable, runs: DataFrame, version: str = "run_id", status: str = "status") -> int | None:
+    """Commit what the runs of the versions that ``sink`` has not seen have to do; the sink's new version, None if there is nothing new.
+
+    The commit holds the rows of :func:`manifest_delta` but the unchanged ones
+    (whose number is that of the listed files less those added and changed) and
+    ``processed``, the source version it covers. It reads the manifests of
+    all versions, as any of them can be the base of a path.
+    """
+    base = sink.latest()
+    done, upto = sink.manifest(base)["processed"], source.latest()
+    if upto <= done:
+        return None
+    seen = max((v for n in range(done + 1) for v in source.manifest(n)["about"]["versions"]), default=None)
+    delta = manifest_delta(source.read(upto), runs, version, status, after=seen).where("change <> 'unchanged'")
+    return sink.commit(delta, processed=upto, on=base)
 
 
-def to_process(manifests: DataFrame, runs: DataFrame, version: str = "run_id", status: str = "status") -> DataFrame:
+def to_process(delta: DataFrame) -> DataFrame:
     """The added and changed records of every run: ``version``, ``path``, ``fingerprint``, ``rec``, ``change``."""
-    return manifest_delta(manifests, runs, version, status).where(F.col("change").isin("added", "changed"))
+    return delta.where(F.col("change").isin("added", "changed"))

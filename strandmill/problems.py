@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from strandmill.functions.scalars import normalize_chrom
 from strandmill.operators import cover, manifests, orphans, row_patterns, schema_drift
-from strandmill.session import table, written
+from strandmill.operators.versioned import VersionedTable
+from strandmill.session import own_dir, table
 
 #: fixed values: the fields of a dataset's metadata that are followed through its versions
 SIDECAR_RULES = schema_drift.Rules(("type", "datasubtype", "probemap"))
@@ -86,11 +87,18 @@ def listing(spark: SparkSession, sf: str) -> DataFrame:
     return scan.join(state, "source_id")
 
 
+def p3_planned(spark: SparkSession, sf: str) -> tuple[VersionedTable, VersionedTable]:
+    """Every listing as a version of one table, and the table of what each run has to do, both in the shared folder."""
+    at = own_dir(spark, "runs")
+    listed, work = VersionedTable(spark, f"{at}/listed"), VersionedTable(spark, f"{at}/work")
+    manifests.publish(listed, listing(spark, sf), "run_id", "name", "hash", "source_id")
+    manifests.plan_runs(listed, work, table(spark, sf, "load_run"))
+    return listed, work
+
+
 def p3_found(spark: SparkSession, sf: str) -> DataFrame:
-    # the manifests are a table of their own, written once and read by both sides of the difference
-    m = written(manifests.build_manifests(listing(spark, sf), "run_id", "name", "hash", "source_id"), "manifests")
-    todo = manifests.to_process(m, table(spark, sf, "load_run"))
-    return todo.select(F.col("version").alias("run_id"), F.col("rec").alias("source_id"))
+    todo = manifests.to_process(p3_planned(spark, sf)[1].read())
+    return todo.select(F.col("version").cast("int").alias("run_id"), F.col("rec").cast("int").alias("source_id"))
 
 
 P3_FOUND = """
@@ -106,13 +114,17 @@ where b.base is null or o.id is null
 
 
 def p3_runs(spark: SparkSession, sf: str) -> DataFrame:
-    """Per run: how many states are added, changed, removed, unchanged, and how many records its deletion vector masks."""
-    rows = listing(spark, sf)
-    m = written(manifests.build_manifests(rows, "run_id", "name", "hash", "source_id"), "manifests")
-    d = manifests.manifest_delta(m, table(spark, sf, "load_run")).select(F.col("version").alias("run_id"), "change")
-    dv = manifests.deletion_vectors(rows, "run_id", "name", "hash", "source_id")
-    masked = dv.select(F.col("version").alias("run_id"), F.lit("masked").alias("change"))
-    return d.unionByName(masked).groupBy("run_id", "change").agg(F.count("*").alias("n"))
+    """Per run: how many files are added, changed, removed, unchanged, and how many records its deletion vector masks."""
+    listed, work = p3_planned(spark, sf)
+    records = listed.read()
+    count = lambda df, what: df.groupBy(F.col("version").alias("run_id"), what.alias("change")).agg(F.count("*").alias("n"))
+    done = count(work.read(), F.col("change"))
+    masked = count(manifests.deletion_vectors(records), F.lit("masked"))
+    runs = table(spark, sf, "load_run").select(F.col("run_id").cast("long").alias("version")).distinct()
+    files = count(records.where("not dead").join(runs, "version", "left_semi"), F.lit("unchanged"))
+    new = done.where("change <> 'removed'").select("run_id", F.lit("unchanged").alias("change"), (-F.col("n")).alias("n"))
+    same = files.unionByName(new).groupBy("run_id", "change").agg(F.sum("n").alias("n")).where("n > 0")
+    return done.unionByName(masked).unionByName(same).withColumn("run_id", F.col("run_id").cast("int"))
 
 
 def catalog_references(spark: SparkSession, sf: str) -> list[orphans.Reference]:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import threading
 import uuid
@@ -31,17 +32,41 @@ def shared_dir(spark: SparkSession) -> str:
 
 #: per thread: folders of the tables written inside its ``scratch`` blocks
 _kept = threading.local()
+#: folders that go when the application ends
+_left: list[tuple[SparkSession, str]] = []
+
+
+def own_dir(spark: SparkSession, name: str) -> str:
+    """A new folder in the shared folder; it is deleted with its content when the application ends."""
+    path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    if not _left:
+        atexit.register(_leave)
+    _left.append((spark, path))
+    return path
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def _leave() -> None:
+    for spark, path in _left:
+        try:
+            _delete(spark, path)
+        except Exception:  # the session has ended before
+            return
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back.
 
     Cuts the lineage, survives the loss of executors, and gives the planner
-    true sizes for later joins. The files stay until the folder is emptied,
-    unless the call is inside :func:`scratch`.
+    true sizes for later joins. The files stay until the application ends, or
+    the :func:`scratch` block that the call is in.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path = own_dir(spark, name)
     df.write.mode("overwrite").parquet(path)
     if blocks := getattr(_kept, "blocks", None):
         blocks[-1].append(path)
@@ -56,8 +81,8 @@ def scratch(spark: SparkSession) -> Iterator[None]:
         yield
     finally:
         for path in _kept.blocks.pop():
-            at = spark._jvm.org.apache.hadoop.fs.Path(path)
-            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+            _delete(spark, path)
+            _left[:] = [x for x in _left if x[1] != path]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

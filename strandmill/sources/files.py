@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import hashlib
 import os
+import uuid
 from dataclasses import dataclass
 from datetime import UTC, datetime
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import SparkSession
 
 
@@ -30,16 +32,65 @@ class Files:
         finally:
             stream.close()
 
-    def write(self, path: str, text: str) -> None:
-        """Appears under its name only when it is complete."""
-        p, fs = self._at(path)
-        draft, _ = self._at(path + ".draft")
-        out = fs.create(draft, True)
+    def _draft(self, path: str, text: str):
+        draft = f"{path}.{uuid.uuid4().hex}.draft"
+        p, fs = self._at(draft)
+        out = fs.create(p, True)
         out.write(bytearray(text.encode()))
         out.close()
-        fs.delete(p, False)
-        if not fs.rename(draft, p):
-            raise OSError(f"can't write {path}")
+        return draft, p, fs
+
+    def _rename(self, old, new, how: str) -> None:
+        """Hadoop's rename with a stated rule for a file of the new name: ``NONE`` refuses, ``OVERWRITE`` replaces in one step."""
+        jvm, gateway = self.spark._jvm, self.spark.sparkContext._gateway
+        rules = gateway.new_array(getattr(jvm.org.apache.hadoop.fs, "Options$Rename"), 1)
+        rules[0] = getattr(getattr(jvm.org.apache.hadoop.fs, "Options$Rename"), how)
+        jvm.org.apache.hadoop.fs.FileContext.getFileContext(old.toUri(), self.spark._jsc.hadoopConfiguration()).rename(old, new, rules)
+
+    def write(self, path: str, text: str) -> None:
+        """Appears under its name only when it is complete; a file of that name is replaced in one step, never missing."""
+        draft, p, fs = self._draft(path, text)
+        try:
+            if fs.getScheme() == "file":
+                os.replace(*(x.toUri().getPath() for x in (p, self._at(path)[0])))
+            else:
+                self._rename(p, self._at(path)[0], "OVERWRITE")
+        finally:
+            fs.delete(p, False)
+
+    def create(self, path: str, text: str) -> bool:
+        """Write a file unless there is one of that name; False if there is. Of several writers at once one succeeds.
+
+        Local file systems link the finished file to its name, HDFS renames it
+        by a rule that refuses to replace; other stores are asked to create the
+        object if it is absent, which they do when it is closed.
+        """
+        final, fs = self._at(path)
+        if fs.exists(final):
+            return False
+        if fs.getScheme() not in ("file", "hdfs", "viewfs"):
+            try:
+                out = fs.create(final, False)
+                out.write(bytearray(text.encode()))
+                out.close()
+            except Py4JJavaError:
+                if fs.exists(final):
+                    return False
+                raise
+            return True
+        _, p, fs = self._draft(path, text)
+        try:
+            if fs.getScheme() == "file":
+                os.link(*(x.toUri().getPath() for x in (p, final)))
+            else:
+                self._rename(p, final, "NONE")
+        except (FileExistsError, Py4JJavaError):
+            if fs.exists(final):
+                return False
+            raise
+        finally:
+            fs.delete(p, False)
+        return True
 
     def delete(self, path: str) -> None:
         p, fs = self._at(path)

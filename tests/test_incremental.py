@@ -11,7 +11,7 @@ R = "run_id int, status string"
 
 def todo(spark, listing, runs, schema=L):
     m = M.build_manifests(spark.createDataFrame(listing, schema), "run_id", "name", "hash", "source_id")
-    return sorted((r["version"], r["rec"]) for r in M.to_process(m, spark.createDataFrame(runs, R)).collect())
+    return sorted((r["version"], r["rec"]) for r in M.to_process(M.manifest_delta(m, spark.createDataFrame(runs, R))).collect())
 
 
 def brute(listing, runs):
@@ -58,7 +58,7 @@ def test_delta_names_every_change(spark):
     assert sorted((r["version"], r["path"], r["change"], r["rec"]) for r in d.collect()) == [
         (1, "f", "added", 1), (1, "g", "added", 2), (2, "f", "unchanged", 1), (2, "g", "changed", 3), (2, "g", "removed", 2), (2, "h", "added", 4),
     ]
-    dv = M.deletion_vectors(df, "run_id", "name", "hash", "source_id")
+    dv = M.deletion_vectors(m)
     assert [(r["version"], r["path"], r["rec"]) for r in dv.collect()] == [(2, "h", 5)]
 
 
@@ -82,7 +82,7 @@ def ids(df):
 def test_versions_files_and_deletion_vectors(spark, tables):
     t, _ = tables
     assert t.commit(spark.range(0, 4, 1, 1)) == 0
-    first = next(iter(t.manifest(0)["files"]))
+    first = t.manifest(0)["files"][0]
     t.commit(spark.range(10, 12, 1, 1))
     t.commit(mask={first: [1, 2]})
     assert ids(t.read()) == [0, 3, 10, 11] and ids(t.read(0)) == [0, 1, 2, 3] and ids(t.read(1)) == [0, 1, 2, 3, 10, 11]
@@ -120,3 +120,62 @@ def test_each_record_once_through_failures(spark, tables):
         process_new(src, out, meddles)
     assert ids(out.read()) == list(range(7)) and out.manifest(out.latest())["processed"] == 2
     assert process_new(src, out, add) is None
+
+
+def test_a_rewrite_is_no_change(spark, tables):
+    t, out = tables
+    t.commit(spark.createDataFrame([(1, "a"), (1, "a"), (2, None)], "id int, x string").coalesce(1))
+    first = t.manifest(0)["files"]
+    t.commit(t.read().repartition(3), remove=first)
+    assert t.changes(0, 1).count() == 0
+    # a rewrite that changes one of two equal records
+    t.commit(spark.createDataFrame([(1, "a"), (1, "b"), (2, None)], "id int, x string"), remove=t.manifest(1)["files"])
+    assert sorted((r["id"], r["x"], r["_change"]) for r in t.changes(0, 2).collect()) == [(1, "a", "removed"), (1, "b", "added")]
+    assert process_new(t, out, lambda d: d.where("_change = 'added'").drop("_change")) == 0 and out.read().count() == 3
+
+
+def test_masks_meet_only_their_own_file(spark, tables):
+    t, _ = tables
+    t.commit(spark.range(0, 5, 1, 1))
+    t.commit(spark.range(10, 15, 1, 1))
+    a, b = t.manifest(1)["files"]
+    t.commit(mask=spark.createDataFrame([(a, 0), (b, 4), (a, 0)], "file string, row long"))
+    assert ids(t.read()) == [1, 2, 3, 4, 10, 11, 12, 13]
+    t.commit(mask={a: [0, 1]})  # masked again: no new change
+    assert sorted(r["id"] for r in t.changes(2, 3).collect()) == [1]
+    t.commit(remove=[a, b])
+    assert t.read().count() == 0 and t.read().columns == ["id"] and t.manifest(4)["masks"] == {}
+
+
+def test_plans_cover_each_version_once(spark, tables):
+    listed, work = tables
+    runs = [(1, "ok"), (2, "failed"), (3, "ok"), (4, None)]
+    listing = [(1, 10, "f", "aa"), (2, 11, "f", "BB"), (3, 11, "f", "BB"), (3, 12, "f", "bb"), (4, 13, "g", "c"), (4, 11, "f", "bb")]
+    got = lambda: sorted((r["version"], r["rec"]) for r in M.to_process(work.read()).collect())
+    for upto in (2, 3, 4):  # one run after the other, and each listing seen again
+        M.publish(listed, spark.createDataFrame([x for x in listing if x[0] <= upto], L), "run_id", "name", "hash", "source_id")
+        assert M.plan_runs(listed, work, spark.createDataFrame(runs, R)) is not None
+        assert M.plan_runs(listed, work, spark.createDataFrame(runs, R)) is None
+        assert got() == brute([x for x in listing if x[0] <= upto], runs)
+    assert work.manifest(work.latest())["processed"] == listed.latest() == 2
+
+
+def test_a_killed_plan_is_made_again(spark, tables, monkeypatch):
+    listed, work = tables
+    M.publish(listed, spark.createDataFrame([(1, 10, "f", "aa"), (2, 11, "f", "b")], L), "run_id", "name", "hash", "source_id")
+    runs = spark.createDataFrame([(1, "ok"), (2, "ok")], R)
+    with monkeypatch.context() as m:
+        m.setattr(work._files, "create", lambda *a: (_ for _ in ()).throw(OSError("lost")))
+        with pytest.raises(OSError):
+            M.plan_runs(listed, work, runs)
+    assert work.latest() == -1
+    assert M.plan_runs(listed, work, runs) == 0 and work.read().count() == 3  # two added, one removed
+
+
+def test_files_appear_whole_and_once(spark, tmp_path):
+    from strandmill.sources.files import Files
+
+    f, at = Files(spark), str(tmp_path / "x.json")
+    assert f.create(at, "one") and not f.create(at, "two") and f.text(at) == "one"
+    f.write(at, "three")
+    assert f.text(at) == "three" and f.names(str(tmp_path)) == ["x.json"]
