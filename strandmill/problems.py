@@ -151,10 +151,8 @@ def catalog_references(spark: SparkSession, sf: str) -> list[orphans.Reference]:
 
 
 def p4_found(spark: SparkSession, sf: str) -> DataFrame:
-    found = None
-    for r in catalog_references(spark, sf):
-        d = orphans.direct_orphans(r)
-        found = d if found is None else found.unionByName(d)
+    """The direct orphans of the cascade over the catalog's own references."""
+    found = orphans.cascade(catalog_references(spark, sf)).where("depth = 0")
     return found.select("table_name", F.col("row_id").cast("int").alias("row_id"), "ref", "period", "kind").distinct()
 
 
@@ -175,12 +173,19 @@ where l.dataset_id is not null and l.dataset_id not in (select id from dataset w
 
 
 def field_references(spark: SparkSession, sf: str) -> list[orphans.Reference]:
-    """Further down the graph: fields to datasets, and the fields that positions belong to."""
+    """Further down the graph: fields to datasets, and the fields that positions belong to.
+
+    The fields of a dataset that is being deleted go with it, so they count as
+    references to a deleted one, like names do. Only the source link, which
+    TESTDATA.md defines, asks for any dataset with the id. Neither table has times.
+    """
     none = F.lit(None).cast("timestamp").alias("time")
-    fields = table(spark, sf, "field").select(F.col("id").alias("row_id"), F.col("dataset_id").alias("ref"), F.lit(None).cast("string").alias("key"), none).distinct()
-    datasets = table(spark, sf, "dataset").select(F.col("id").alias("key"), F.lit(True).alias("live"), none).distinct()
+    no_key = F.lit(None).cast("string").alias("key")
+    fields = table(spark, sf, "field").select(F.col("id").alias("row_id"), F.col("dataset_id").alias("ref"), no_key, none)
+    live = F.coalesce(F.col("status") != "deleting", F.lit(True)).alias("live")
+    datasets = table(spark, sf, "dataset").select(F.col("id").alias("key"), live, none)
     of_positions = table(spark, sf, "field_position").select("field_id").distinct()
-    positions = of_positions.select(F.col("field_id").alias("row_id"), F.col("field_id").alias("ref"), F.lit(None).cast("string").alias("key"), none)
+    positions = of_positions.select(F.col("field_id").alias("row_id"), F.col("field_id").alias("ref"), no_key, none)
     known = fields.select(F.col("row_id").alias("key"), F.lit(True).alias("live"), none)
     return [
         orphans.Reference("field", fields, "dataset", datasets, by="row_id"),
@@ -188,10 +193,52 @@ def field_references(spark: SparkSession, sf: str) -> list[orphans.Reference]:
     ]
 
 
+def all_orphans(spark: SparkSession, sf: str) -> DataFrame:
+    found = orphans.cascade(catalog_references(spark, sf) + field_references(spark, sf))
+    return found.select("table_name", "row_id", "ref", "period", "kind", "depth").distinct()
+
+
 def p4_cascade(spark: SparkSession, sf: str) -> DataFrame:
-    """Direct and inherited orphans per table and month, down to the fields that positions belong to."""
-    all_orphans = orphans.cascade(catalog_references(spark, sf) + field_references(spark, sf))
-    return all_orphans.groupBy("table_name", "period", "kind", "depth").agg(F.count("*").alias("n"))
+    """Direct and inherited orphans with their depth, down to the fields that positions belong to."""
+    return all_orphans(spark, sf)
+
+
+def p4_report(spark: SparkSession, sf: str) -> DataFrame:
+    """How many direct and inherited orphans each table has in each month."""
+    inherited = F.col("kind") == "inherited"
+    count = lambda c: F.count(F.when(c, 1))
+    return all_orphans(spark, sf).groupBy("table_name", "period").agg(count(~inherited).alias("direct"), count(inherited).alias("inherited"), F.max("depth").alias("deepest"))
+
+
+_P4_CASCADE = """
+with recursive t as (select l.dataset_id, min(s.time) as tm from dataset_source l join source s on s.id = l.source_id group by 1),
+d as (select distinct id, name, probemap, status, tm from dataset left join t on t.dataset_id = id),
+e as (
+  select 'name' fk, 'dataset' table_name, id row_id, regexp_replace(regexp_replace(probemap, '^\\s+|\\s+$', '', 'g'), '^(\\./|/)+', '') ref, probemap shown, name as key, tm from d
+    where regexp_replace(probemap, '\\s', '', 'g') <> ''
+  union select 'link', 'dataset_source', l.source_id, l.dataset_id::varchar, l.dataset_id::varchar, null, s.tm
+    from dataset_source l left join (select id, min(time) tm from source group by 1) s on s.id = l.source_id where l.dataset_id is not null
+  union select 'field', 'field', id, dataset_id::varchar, dataset_id::varchar, null, null from field where dataset_id is not null
+  union select 'position', 'field_position', field_id, field_id::varchar, field_id::varchar, null, null from field_position where field_id is not null),
+tg as (
+  select 'name' fk, name as key, bool_or(status is null or status <> 'deleting') lv, min(case when status is null or status <> 'deleting' then tm end) lt from d where name is not null group by 2
+  union all select 'link', id::varchar, true, null from d where id is not null group by 2
+  union all select 'field', id::varchar, bool_or(status is null or status <> 'deleting'), null from d where id is not null group by 2
+  union all select 'position', id::varchar, true, null from field where id is not null group by 2),
+j as (select e.*, case when tg.key is null then 'missing' when not tg.lv then 'deleted' when tg.lt > e.tm then 'late' end kind from e left join tg on tg.fk = e.fk and tg.key = e.ref),
+k as (select * from (values ('name', 'dataset', true), ('link', 'dataset', false), ('field', 'dataset', false), ('position', 'field', false)) v(fk, parent, by_key)),
+c as (select fk, table_name, row_id, ref, shown, key, tm, 0 as depth from j where kind in ('missing', 'deleted')
+  union select e.*, c.depth + 1 from c join k on k.parent = c.table_name join e on e.fk = k.fk and e.ref = case when k.by_key then c.key else c.row_id::varchar end where c.depth < 40),
+h as (select fk, table_name, row_id, ref, shown, key, tm, min(depth) depth from c group by all),
+o as (select table_name, row_id, shown, tm, kind, 0 as depth from j where kind is not null
+  union all select table_name, row_id, shown, tm, 'inherited', depth from h where depth > 0),
+r as (select distinct table_name, row_id::bigint as row_id, shown as ref, strftime(tm at time zone 'UTC', '%Y-%m') as period, kind, depth::int as depth from o)
+"""
+P4_CASCADE = _P4_CASCADE + "select * from r"
+P4_REPORT = (
+    _P4_CASCADE
+    + "select table_name, period, count(*) filter (kind <> 'inherited') as direct, count(*) filter (kind = 'inherited') as inherited, max(depth) as deepest from r group by 1, 2"
+)
 
 
 def p5_conformed(spark: SparkSession, sf: str) -> DataFrame:
@@ -266,9 +313,9 @@ P5_FOUND = (
 )
 
 QUERIES = {
-    f.__name__: f for f in (p1_found, p2_found, p2_valid, p3_found, p3_runs, p4_found, p4_cascade, p5_found, p5_table)
+    f.__name__: f for f in (p1_found, p2_found, p2_valid, p3_found, p3_runs, p4_found, p4_cascade, p4_report, p5_found, p5_table)
 }
 
 SQL = {
-    "p1_found": P1_FOUND, "p2_found": P2_FOUND, "p2_valid": P2_VALID, "p3_found": P3_FOUND, "p3_runs": P3_RUNS, "p4_found": P4_FOUND, "p5_found": P5_FOUND,
+    "p1_found": P1_FOUND, "p2_found": P2_FOUND, "p2_valid": P2_VALID, "p3_found": P3_FOUND, "p3_runs": P3_RUNS, "p4_found": P4_FOUND, "p4_cascade": P4_CASCADE, "p4_report": P4_REPORT, "p5_found": P5_FOUND,
 }

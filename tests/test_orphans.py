@@ -52,3 +52,21 @@ def test_cascade_by_row_id_and_clashing_columns(spark):
     )
     got = cascade([a, b])
     assert sorted((r["table_name"], r["row_id"], r["kind"]) for r in got.collect()) == [("links", 1, "inherited"), ("t", 7, "missing")]
+
+
+def test_late_targets_are_not_lost(spark):
+    # 1 came before its target 2, which is lost itself: 1 is late and inherits, 3 inherits from it
+    child = [(1, "k2", "k1", day(0)), (2, "gone", "k2", day(3)), (3, "k1", "k3", day(4)), (4, "k5", "k4", day(0)), (5, None, "k5", day(2)), (6, "k4", "k6", day(3))]
+    parent = [("k1", True, day(0)), ("k2", True, day(3)), ("k3", True, day(4)), ("k4", True, day(0)), ("k5", True, day(2))]
+    got = cascade([ref(spark, child, parent, timed=True)])
+    assert sorted((r["row_id"], r["kind"], r["depth"]) for r in got.collect()) == [
+        (1, "inherited", 1), (1, "late", 0), (2, "missing", 0), (3, "inherited", 2), (4, "late", 0),
+    ]
+
+
+def test_long_chains_and_null_ids(spark):
+    n = 12
+    child = [(i, f"k{i - 1}", f"k{i}", None) for i in range(1, n)] + [(None, "k3", None, None), (None, "gone", "k0", None), (None, "gone", "k0", None)]
+    parent = [(f"k{i}", True, None) for i in range(n)]
+    got = {(r["row_id"], r["ref"]): r["depth"] for r in cascade([ref(spark, child, parent)]).collect()}
+    assert got == {(None, "gone"): 0, (None, "k3"): 4} | {(i, f"k{i - 1}"): i for i in range(1, n)}
