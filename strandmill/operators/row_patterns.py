@@ -3,8 +3,12 @@
 Per file, the header gives a schema; per schema, one anchored regular
 expression is generated that a whole good row must match. Only lines that fail
 it meet the incremental patterns: prefixes of one, two, three ... fields, of
-which the first that fails names the broken field. All patterns use possessive
-quantifiers, so a line is read once, without recursion, however long it is.
+which the first that fails names the broken field. A line that matches a prefix
+matches all shorter ones, so the first that fails is found by halving, with as
+many patterns as the number of fields has binary digits. There are three series,
+for the number of cells, their quoting and their values; the first series with
+a failure gives the reason. All patterns use possessive quantifiers, so a cell
+is read once, without recursion, however long it is.
 
 Patterns travel as columns beside the lines, so no schema is ever collected;
 lines of one file lie together after the join with their header, and the JVM
@@ -25,6 +29,7 @@ PAD = r"[ \r]*+"
 ANY = r'(?:[^"\t]*+|' + PAD + r'"(?:[^"\t]++|"")*+"' + PAD + ")"
 FILLED = "(?:" + PAD + r'[^"\t \r][^"\t]*+|' + PAD + r'"(?:[^"\t]++|"")++"' + PAD + ")"
 NUMBER = r"(?:[0-9]++(?:\.[0-9]*+)?+|\.[0-9]++)(?:[eE][+-]?+[0-9]++)?+"
+CELL = r"[^\t]*+"
 COORD = "(?:" + PAD + NUMBER + PAD + "|" + PAD + '"' + NUMBER + '"' + PAD + ")"
 MAX_COORD = 2147483647
 
@@ -96,6 +101,27 @@ def whole_number(text: Column) -> Column:
     return let(let(text, read), lambda v: F.when(v <= MAX_COORD, v))
 
 
+def first_broken(line: Column, roles: Column, cell) -> Column:
+    """The place, from 1, of the first field at which the patterns of field prefixes stop to match; NULL if all match.
+
+    ``cell(role)`` is the pattern of a field. The prefix of k fields must end at
+    a tab or with the line, that of all fields with the line.
+    """
+    n = F.size(roles)
+
+    def prefix(k: Column) -> Column:
+        return F.concat(F.lit(r"\A"), F.array_join(F.transform(F.slice(roles, F.lit(1), k), cell), r"\t"), F.when(k == n, r"\z").otherwise(r"(?=\t|\z)"))
+
+    def halve(span: Column, _: Column) -> Column:
+        mid = F.shiftright(span["lo"] + span["hi"], 1)
+        upper, lower = F.struct((mid + 1).alias("lo"), span["hi"].alias("hi")), F.struct(span["lo"].alias("lo"), mid.alias("hi"))
+        return F.when(span["lo"] >= span["hi"], span).when(F.rlike(line, prefix(mid)), upper).otherwise(lower)
+
+    steps = F.sequence(F.lit(0), F.ceil(F.log2(n + F.lit(1))).cast("int"))
+    start = F.struct(F.lit(1).alias("lo"), (n + 1).alias("hi"))
+    return F.aggregate(steps, start, halve, lambda span: F.when(span["lo"] <= n, span["lo"]))
+
+
 def headers(lines: DataFrame, schema: RowSchema, file: str, order: str, line: str) -> DataFrame:
     """One row per file: ``__f``, ``__hn`` (place of the header), ``__names``, ``__roles``, ``__pattern``."""
     # first the places, by hash aggregation of numbers; then the few lines there
@@ -148,7 +174,6 @@ def parse_rows(
     joined = records.join(head, F.col("__file").eqNullSafe(F.col("__f"))).where(
         F.col("__n").isNull() | (F.col("__n") > F.col("__hn"))
     )
-    n = F.size("__roles")
     matched = joined.withColumn("__ok", F.call_function("regexp_extract", F.col("__line"), F.col("__pattern"), F.lit(0)) != "")
     cells = F.split("__line", "\t", -1)
     at = lambda r: F.array_position("__roles", F.lit(r)).cast("int")
@@ -164,30 +189,18 @@ def parse_rows(
         wrong = F.when(a > b, at(schema.ordered[0]))
     for r in reversed(schema.coordinates):
         wrong = F.when((at(r) > 0) & F.col(f"v_{r}").isNull(), at(r)).otherwise(wrong)
-    # rows that fail it: the first prefix of cells that no longer matches
-    prefix = lambda cell, k: F.concat(
-        F.lit(r"\A"), F.array_join(F.transform(F.slice("__roles", 1, k), cell), r"\t"), F.when(k == n, F.lit(r"\z")).otherwise(r"\t")
-    )
-    broken = lambda cell: F.get(
-        F.filter(F.sequence(F.lit(1), n), lambda k: ~F.rlike(F.col("__line"), prefix(cell, k))), F.lit(0)
-    )
-    loose = lambda r: F.lit(ANY)
+    # rows that fail it: the first series of prefixes that does not match to its end
+    def at_series(cell, what: str, rest: Column) -> Column:
+        return let(first_broken(F.col("__line"), F.col("__roles"), cell), lambda k: F.when(k.isNotNull(), F.struct(F.lit(what).alias("reason"), k.alias("at"))).otherwise(rest))
+
     strict = lambda r: (
         F.when(r.isin(*schema.filled), F.lit(FILLED)).when(r.isin(*schema.coordinates), F.lit(COORD)).otherwise(F.lit(ANY))
     )
-    count = F.size(cells)
-    judged = typed.select(
-        "*",
-        F.when(F.col("__ok"), wrong).when(count != n, F.least(count, n) + F.when(count < n, 1).otherwise(0)).alias("__late"),
-        F.when(~F.col("__ok") & (count == n), broken(loose)).alias("__quote"),
-        F.when(~F.col("__ok") & (count == n), broken(strict)).alias("__value"),
-    )
-    reason = (
-        F.when(~F.col("__ok") & (count != n), "column_count")
-        .when(F.col("__quote").isNotNull(), "quoting")
-        .when(F.col("__value").isNotNull() | F.col("__late").isNotNull(), "invalid_value")
-    )
-    done = judged.select("*", reason.alias("__reason"), F.coalesce("__quote", "__value", "__late").alias("__at"))
+    none = F.lit(None).cast("struct<reason: string, at: int>")
+    series = at_series(lambda r: F.lit(CELL), "column_count", at_series(lambda r: F.lit(ANY), "quoting", at_series(strict, "invalid_value", none)))
+    late = F.when(wrong.isNotNull(), F.struct(F.lit("invalid_value").alias("reason"), wrong.alias("at")))
+    judged = typed.withColumn("__broken", F.when(F.col("__ok"), late).otherwise(series))
+    done = judged.select("*", F.col("__broken.reason").alias("__reason"), F.col("__broken.at").alias("__at"))
     good = F.col("__reason").isNull()
     out = []
     for r in schema.aliases:

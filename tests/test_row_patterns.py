@@ -116,3 +116,29 @@ def test_against_plain_rules(spark):
     lines = ["\t".join(rnd.choice(pool) for _ in range(rnd.choice([6, 6, 6, 6, 5, 7]))) for _ in range(1500)]
     lines = [x for x in dict.fromkeys(lines) if x.strip() and not x.startswith("#")]
     assert reasons(spark, *lines) == [plain_judge(x, HEAD) for x in lines]
+
+
+@pytest.mark.parametrize("width", [1, 2, 7, 500])
+def test_first_broken_field_at_any_width(spark, width):
+    """Every place of a damage, in rows of any width, against a plain scan of the cells."""
+    names = ["id", "start", "end"][: min(width, 3)] + [f"c{i}" for i in range(3, width)]
+    good = ["P", "1", "2"][: min(width, 3)] + ["x"] * max(0, width - 3)
+    places = range(width) if width < 10 else [0, 1, 2, 3, 255, 256, 498, 499]
+    data, want = [(1, 1, "\t".join(names))], {}
+
+    def row(cells, reason, at):
+        data.append((1, len(data) + 1, "\t".join(cells)))
+        want[len(data)] = (reason, at)
+
+    row(good, None, None)
+    row([*good, "x"], "column_count", width)
+    for i in places:
+        row([*good[:i], 'a"b', *good[i + 1 :]], "quoting", i + 1)
+        if i < 3 and width > 1:  # an only cell that is empty makes a blank line
+            row([*good[:i], "" if i == 0 else "ten", *good[i + 1 :]], "invalid_value", i + 1)
+        if i:
+            row(['"', *good[1:i]], "column_count", i + 1)
+    if width > 3:
+        row(["P", "ten", "2", 'a"', *good[4:]], "quoting", 4)
+    got = {r["line_no"]: (r["reason"], r["broken_at"]) for r in parse(spark, data).collect()}
+    assert got == want
