@@ -8,7 +8,8 @@ matches all shorter ones, so the first that fails is found by halving, with as
 many patterns as the number of fields has binary digits. There are three series,
 for the number of cells, their quoting and their values; the first series with
 a failure gives the reason. All patterns use possessive quantifiers, so a cell
-is read once, without recursion, however long it is.
+is read once, without recursion, however long it is; rows of more than ``WIDTH``
+fields are matched in stretches of so many.
 
 Patterns travel as columns beside the lines, so no schema is ever collected;
 lines of one file lie together after the join with their header, and the JVM
@@ -32,6 +33,9 @@ NUMBER = r"(?:[0-9]++(?:\.[0-9]*+)?+|\.[0-9]++)(?:[eE][+-]?+[0-9]++)?+"
 CELL = r"[^\t]*+"
 COORD = "(?:" + PAD + NUMBER + PAD + "|" + PAD + '"' + NUMBER + '"' + PAD + ")"
 MAX_COORD = 2147483647
+#: fields that one pattern matches at most; the engine of patterns goes deeper with every field
+WIDTH_BITS = 7
+WIDTH = 1 << WIDTH_BITS
 
 
 @dataclass(frozen=True)
@@ -101,25 +105,49 @@ def whole_number(text: Column) -> Column:
     return let(let(text, read), lambda v: F.when(v <= MAX_COORD, v))
 
 
+def stretches(roles: Column) -> Column:
+    """The numbers, from 0, of the stretches of ``WIDTH`` fields that a row is matched in."""
+    return F.sequence(F.lit(0), F.shiftright(F.size(roles) - 1, WIDTH_BITS))
+
+
+def stretch(line: Column, roles: Column, j: Column) -> Column:
+    """The text of one stretch of a line; the last one has all that is left; NULL if the line ends before it."""
+    cells = let(F.split(line, "\t", -1), lambda x: F.slice(x, j * WIDTH + 1, F.when((j + 1) * WIDTH < F.size(roles), F.lit(WIDTH)).otherwise(F.size(x) + 1)))
+    return F.when(F.size(roles) <= WIDTH, line).otherwise(let(cells, lambda x: F.when(F.size(x) > 0, F.array_join(x, "\t"))))
+
+
+def pattern(roles: Column, cell, j: Column) -> Column:
+    """The anchored pattern of a stretch."""
+    return F.concat(F.lit(r"\A"), F.array_join(F.transform(F.slice(roles, j * WIDTH + 1, F.lit(WIDTH)), cell), r"\t"), F.lit(r"\z"))
+
+
 def first_broken(line: Column, roles: Column, cell) -> Column:
     """The place, from 1, of the first field at which the patterns of field prefixes stop to match; NULL if all match.
 
     ``cell(role)`` is the pattern of a field. The prefix of k fields must end at
-    a tab or with the line, that of all fields with the line.
+    a tab or with the line, that of all fields with the line. In a row of
+    several stretches the first one that fails is searched.
     """
-    n = F.size(roles)
 
-    def prefix(k: Column) -> Column:
-        return F.concat(F.lit(r"\A"), F.array_join(F.transform(F.slice(roles, F.lit(1), k), cell), r"\t"), F.when(k == n, r"\z").otherwise(r"(?=\t|\z)"))
+    def within(text: Column, own: Column) -> Column:
+        n = F.size(own)
+
+        def prefix(k: Column) -> Column:
+            return F.concat(F.lit(r"\A"), F.array_join(F.transform(F.slice(own, F.lit(1), k), cell), r"\t"), F.when(k == n, r"\z").otherwise(r"(?=\t|\z)"))
 
-    def halve(span: Column, _: Column) -> Column:
-        mid = F.shiftright(span["lo"] + span["hi"], 1)
-        upper, lower = F.struct((mid + 1).alias("lo"), span["hi"].alias("hi")), F.struct(span["lo"].alias("lo"), mid.alias("hi"))
-        return F.when(span["lo"] >= span["hi"], span).when(F.rlike(line, prefix(mid)), upper).otherwise(lower)
+        def halve(span: Column, _: Column) -> Column:
+            mid = F.shiftright(span["lo"] + span["hi"], 1)
+            upper, lower = F.struct((mid + 1).alias("lo"), span["hi"].alias("hi")), F.struct(span["lo"].alias("lo"), mid.alias("hi"))
+            return F.when(span["lo"] >= span["hi"], span).when(F.rlike(text, prefix(mid)), upper).otherwise(lower)
 
-    steps = F.sequence(F.lit(0), F.ceil(F.log2(n + F.lit(1))).cast("int"))
-    start = F.struct(F.lit(1).alias("lo"), (n + 1).alias("hi"))
-    return F.aggregate(steps, start, halve, lambda span: F.when(span["lo"] <= n, span["lo"]))
+        steps = F.sequence(F.lit(0), F.ceil(F.log2(n + F.lit(1))).cast("int"))
+        start = F.struct(F.lit(1).alias("lo"), (n + 1).alias("hi"))
+        return F.aggregate(steps, start, halve, lambda span: F.when(span["lo"] <= n, span["lo"]))
+
+    failed = F.get(F.filter(stretches(roles), lambda j: ~F.coalesce(F.rlike(stretch(line, roles, j), pattern(roles, cell, j)), F.lit(False))), F.lit(0))
+    at = F.when(F.size(roles) <= WIDTH, F.lit(0)).otherwise(failed)
+    own = lambda j: F.slice(roles, j * WIDTH + 1, F.lit(WIDTH))
+    return let(at, lambda j: F.when(j.isNotNull(), j * WIDTH + let(stretch(line, roles, j), lambda t: within(t, own(j)))))
 
 
 def headers(lines: DataFrame, schema: RowSchema, file: str, order: str, line: str) -> DataFrame:
@@ -141,12 +169,14 @@ def headers(lines: DataFrame, schema: RowSchema, file: str, order: str, line: st
         "__roles",
         F.transform("__roles", lambda r, i: F.when(F.array_position(F.col("__roles"), r) == i + 1, r).otherwise("")),
     )
-    cell = lambda r: (
-        F.when(r.isin(*schema.filled), F.lit(FILLED)).when(r.isin(*schema.coordinates), F.lit(COORD)).otherwise(F.lit(ANY))
-    )
-    return first.withColumn(
-        "__pattern", F.concat(F.lit(r"\A"), F.array_join(F.transform("__roles", cell), r"\t"), F.lit(r"\z"))
-    )
+    # a row of several stretches has no single pattern
+    single = F.when(F.size("__roles") <= WIDTH, pattern(F.col("__roles"), strict(schema), F.lit(0)))
+    return first.withColumn("__pattern", single)
+
+
+def strict(schema: RowSchema):
+    """role -> the pattern of a good cell."""
+    return lambda r: F.when(r.isin(*schema.filled), F.lit(FILLED)).when(r.isin(*schema.coordinates), F.lit(COORD)).otherwise(F.lit(ANY))
 
 
 def parse_rows(
@@ -174,8 +204,10 @@ def parse_rows(
     joined = records.join(head, F.col("__file").eqNullSafe(F.col("__f"))).where(
         F.col("__n").isNull() | (F.col("__n") > F.col("__hn"))
     )
-    matched = joined.withColumn("__ok", F.call_function("regexp_extract", F.col("__line"), F.col("__pattern"), F.lit(0)) != "")
-    cells = F.split("__line", "\t", -1)
+    line_, roles, cells = F.col("__line"), F.col("__roles"), F.split("__line", "\t", -1)
+    wide = (F.size(cells) == F.size(roles)) & F.forall(stretches(roles), lambda j: F.rlike(stretch(line_, roles, j), pattern(roles, strict(schema), j)))
+    whole = F.call_function("regexp_extract", line_, F.col("__pattern"), F.lit(0)) != ""
+    matched = joined.withColumn("__ok", F.when(F.col("__pattern").isNotNull(), whole).otherwise(wide))
     at = lambda r: F.array_position("__roles", F.lit(r)).cast("int")
     value = lambda r: F.when(F.col("__ok") & (at(r) > 0), bare(F.get(cells, at(r) - 1)))
     typed = matched.select(
@@ -191,13 +223,10 @@ def parse_rows(
         wrong = F.when((at(r) > 0) & F.col(f"v_{r}").isNull(), at(r)).otherwise(wrong)
     # rows that fail it: the first series of prefixes that does not match to its end
     def at_series(cell, what: str, rest: Column) -> Column:
-        return let(first_broken(F.col("__line"), F.col("__roles"), cell), lambda k: F.when(k.isNotNull(), F.struct(F.lit(what).alias("reason"), k.alias("at"))).otherwise(rest))
+        return let(first_broken(line_, roles, cell), lambda k: F.when(k.isNotNull(), F.struct(F.lit(what).alias("reason"), k.alias("at"))).otherwise(rest))
 
-    strict = lambda r: (
-        F.when(r.isin(*schema.filled), F.lit(FILLED)).when(r.isin(*schema.coordinates), F.lit(COORD)).otherwise(F.lit(ANY))
-    )
     none = F.lit(None).cast("struct<reason: string, at: int>")
-    series = at_series(lambda r: F.lit(CELL), "column_count", at_series(lambda r: F.lit(ANY), "quoting", at_series(strict, "invalid_value", none)))
+    series = at_series(lambda r: F.lit(CELL), "column_count", at_series(lambda r: F.lit(ANY), "quoting", at_series(strict(schema), "invalid_value", none)))
     late = F.when(wrong.isNotNull(), F.struct(F.lit("invalid_value").alias("reason"), wrong.alias("at")))
     judged = typed.withColumn("__broken", F.when(F.col("__ok"), late).otherwise(series))
     done = judged.select("*", F.col("__broken.reason").alias("__reason"), F.col("__broken.at").alias("__at"))
