@@ -1,10 +1,14 @@
 """Schemas that drift between versions: one conformed table and every change.
 
 Each version of an object gets a schema fingerprint (its keys and JSON types).
-Where consecutive fingerprints differ, explicit migration steps lead from one
-to the next: a field's key is renamed, its value gets the default (NULL) or is
-cast to the target type, and every step is recorded. The key that stands for a
-field after a step is the state the next step starts from, so renames chain.
+A :class:`Registry` holds the migration from one fingerprint to another: which
+keys stay, which are new, which change type, and which key is spelled like a
+field. Every version is routed by the pair of its predecessor's fingerprint and
+its own to that migration, which is made once however many objects take it, and
+goes through its rules: a field's key is renamed, its value gets the default
+(NULL) or is cast to the target type, and every step is recorded. The key that
+stands for a field after a step is the state the next step starts from, so
+renames chain.
 
 The versions of a name are read in order, as a stream. A name is cut into
 blocks of ``2**block_bits`` versions; for the few names that have several, a
@@ -26,8 +30,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 BLOCK_BITS = 12
+#: fingerprints and migrations a worker keeps; beyond it they are made again, which changes no result
+KEPT = 50_000
 
 STEPS = "array<struct<field string, change string, from_key string, to_key string, from_type string, to_type string>>"
+JSON_TYPES = {str: "string", bool: "boolean", int: "number", float: "number", list: "array", dict: "object"}
 
 
 @dataclass(frozen=True)
@@ -42,57 +49,93 @@ class Rules:
         return low if low in self.fields else None
 
 
-def json_type(v) -> str:
-    if isinstance(v, bool):
-        return "boolean"
-    return {str: "string", int: "number", float: "number", list: "array", dict: "object"}[type(v)]
-
-
-def entries(content: str | None) -> dict[str, tuple[str, str]]:
-    """``key -> (JSON type, canonical text)`` of a JSON object, without NULL values; empty if it is none."""
+def document(content: str | None) -> dict:
+    """The keys and values of a JSON object, without NULL values; empty if it is none."""
     try:
         doc = json.loads(content) if content is not None else None
     except (ValueError, RecursionError):
         doc = None
-    if not isinstance(doc, dict):
-        return {}
-    return {k: (json_type(v), json.dumps(v, sort_keys=True)) for k, v in doc.items() if v is not None}
-
-
-def fingerprint(keys: dict[str, tuple[str, str]]) -> str:
-    """Names and types of the keys, in any order."""
-    return hashlib.sha1(json.dumps(sorted((k, t) for k, (t, _) in keys.items())).encode()).hexdigest()[:16]
-
-
-def spelled(rules: Rules, keys: dict, field: str) -> str | None:
-    """The key that reads like the field; the first in order of spelling if there are several."""
-    return min((k for k in keys if rules.field_of(k) == field), default=None)
-
-
-def advance(rules: Rules, field: str, before: dict, after: dict, key: str | None) -> str | None:
-    """The key that stands for ``field`` after a step, given the one that stood before it."""
-    if key is not None and key in after:
-        return key
-    own = spelled(rules, after, field)
-    if own is not None or key is None:
-        return own
-    heirs = [k for k, v in after.items() if k not in before and v == before[key]]
-    return heirs[0] if len(heirs) == 1 else None
-
-
-def migration(field: str, before: dict, after: dict, old: str | None, new: str | None) -> list[dict]:
-    """The steps of one field between two versions."""
-    a, b = before.get(old, (None,))[0], after.get(new, (None,))[0]
-    whats = []
-    if old is None and new is not None:
-        whats = ["added"]
-    elif old is not None and new is None:
-        whats = ["removed"]
-    elif old is not None:
-        whats = ["renamed"] * (old != new) + ["retyped"] * (a != b)
-    return [
-        {"field": field, "change": w, "from_key": old, "to_key": new, "from_type": a, "to_type": b} for w in whats
-    ]
+    return {k: v for k, v in doc.items() if v is not None} if isinstance(doc, dict) else {}
+
+
+def canonical(value) -> str:
+    """A value as JSON text that is the same for equal values."""
+    return json.dumps(value, sort_keys=True, ensure_ascii=False, separators=(",", ":"))
+
+
+class Shape:
+    """A schema: types by key, its fingerprint, and the key that is spelled like each field (the first in order, of several)."""
+
+    def __init__(self, rules: Rules, types: dict[str, str]):
+        self.types = types
+        self.fingerprint = hashlib.md5("\x1e".join(f"{k}\x1f{t}" for k, t in sorted(types.items())).encode()).hexdigest()
+        spelled: dict[str, list[str]] = {f: [] for f in rules.fields}
+        for k in types:
+            if f := rules.field_of(k):
+                spelled[f].append(k)
+        self.own = {f: min(ks, default=None) for f, ks in spelled.items()}
+
+
+class Migration:
+    """The rules from one fingerprint to another."""
+
+    def __init__(self, a: Shape, b: Shape):
+        self.a, self.b = a, b
+        self.new = [k for k in b.types if k not in a.types]
+
+    def key(self, field: str, old: str | None, before: dict, after: dict) -> str | None:
+        """The rename rule: the key that stands for a field, given the one before.
+
+        It stays while it is there; else the key spelled like the field takes
+        its place; else the only new key with the same value, which is the one
+        thing the fingerprints can't tell.
+        """
+        if old is not None and old in self.b.types:
+            return old
+        own = self.b.own[field]
+        if own is not None or old is None:
+            return own
+        kind, value = self.a.types[old], canonical(before[old])
+        heirs = [k for k in self.new if self.b.types[k] == kind and canonical(after[k]) == value]
+        return heirs[0] if len(heirs) == 1 else None
+
+    def steps(self, field: str, old: str | None, new: str | None) -> list[dict]:
+        """What is recorded of one field."""
+        a, b = self.a.types.get(old), self.b.types.get(new)
+        if old is None:
+            whats = ["added"] if new is not None else []
+        elif new is None:
+            whats = ["removed"]
+        else:
+            whats = ["renamed"] * (old != new) + ["retyped"] * (a != b)
+        return [{"field": field, "change": w, "from_key": old, "to_key": new, "from_type": a, "to_type": b} for w in whats]
+
+
+class Registry:
+    """Shapes by their keys and types, migrations by their pair of fingerprints."""
+
+    def __init__(self, rules: Rules):
+        self.rules = rules
+        self.shapes: dict[tuple, Shape] = {}
+        self.migrations: dict[tuple[str, str], Migration] = {}
+
+    def shape(self, doc: dict) -> Shape:
+        at = tuple((k, type(v)) for k, v in doc.items())
+        found = self.shapes.get(at)
+        if found is None:
+            if len(self.shapes) >= KEPT:
+                self.shapes.clear()
+            found = self.shapes[at] = Shape(self.rules, {k: JSON_TYPES[t] for k, t in at})
+        return found
+
+    def migration(self, a: Shape, b: Shape) -> Migration:
+        at = (a.fingerprint, b.fingerprint)
+        found = self.migrations.get(at)
+        if found is None:
+            if len(self.migrations) >= KEPT:
+                self.migrations.clear()
+            found = self.migrations[at] = Migration(a, b)
+        return found
 
 
 def _rows(batches: Iterator[pd.DataFrame]) -> Iterator[tuple]:
@@ -109,14 +152,12 @@ def _versions(batches: Iterator[pd.DataFrame]) -> Iterator[tuple]:
             yield row
 
 
-def _texts(keys: dict, standing: dict, rules: Rules) -> dict:
+def _text(doc: dict, key: str | None) -> str | None:
     """The cast rule: strings as they are, all else as JSON text; the default rule: NULL."""
-    out = {}
-    for f in rules.fields:
-        k = standing[f]
-        v = keys[k] if k is not None else None
-        out[f] = None if v is None else json.loads(v[1]) if v[0] == "string" else v[1]
-    return out
+    if key is None:
+        return None
+    v = doc[key]
+    return v if isinstance(v, str) else canonical(v)
 
 
 def conform(
@@ -129,8 +170,8 @@ def conform(
     block_bits: int = BLOCK_BITS,
 ) -> DataFrame:
     """One row per name and version: ``name``, ``version``, ``prev_version``,
-    ``fingerprint``, the fields' values as text, and ``steps``, the changes
-    since the next lower version that is present.
+    ``prev_fingerprint``, ``fingerprint``, the fields' values as text, and
+    ``steps``, the changes since the next lower version that is present.
 
     Defined cases: rows with a NULL name or version are left out; content that
     is no JSON object has no keys; NULL values count as absent; repeated rows
@@ -138,74 +179,81 @@ def conform(
     ``newest`` columns, then the greatest text, is taken; an empty table gives
     an empty result; other columns are dropped.
     """
-    # copies are dropped by hash before they meet; the ties that are left are settled in the stream
     order = [f"o{i}" for i in range(len(newest))]
-    picked = (
-        df.where(F.col(name).isNotNull() & F.col(version).isNotNull())
-        .select(
-            F.col(name).alias("name"),
-            F.col(version).cast("long").alias("version"),
-            F.shiftright(F.col(version).cast("long"), block_bits).alias("block"),
-            F.col(content).alias("content"),
+    block = F.shiftright(F.col(version).cast("long"), block_bits)
+    known = df.where(F.col(name).isNotNull() & F.col(version).isNotNull())
+
+    def picked(rows: DataFrame) -> DataFrame:
+        """Copies are dropped by hash before they meet; the ties that are left are settled in the stream."""
+        return rows.select(
+            F.col(name).alias("name"), block.alias("block"), F.col(version).cast("long").alias("version"), F.col(content).alias("content"),
             *[F.col(c).alias(o) for c, o in zip(newest, order)],
-        )
-        .distinct()
-    )
+        ).distinct()
+
     newest_first = [F.desc(c) for c in [*order, "content"]]
-    long_names = picked.groupBy("name").agg(F.min("block").alias("a"), F.max("block").alias("b")).where("a < b").select("name")
+    # names and versions only; for the names of one block the passes below have nothing to do
+    many = known.groupBy(F.col(name).alias("l_name")).agg(F.min(block).alias("a"), F.max(block).alias("b")).where("a < b").select("l_name")
 
     def transfers(batches):
         """Per block: its first and last content, and the last key for each possible first key."""
+        registry = Registry(rules)
+
         def done(n, blk, first, last, states):
             return pd.DataFrame([{"name": n, "block": blk, "first": first, "last_version": last[0], "last": last[1], "map": json.dumps(states)}])
 
         at = None
         for n, blk, ver, text in _versions(batches):
-            now = entries(text)
+            now = document(text)
+            shape = registry.shape(now)
             if at != (n, blk):
                 if at:
                     yield done(*at, first, last, states)
                 at, first = (n, blk), text
                 states = {f: [[k, k] for k in [*now, None]] for f in rules.fields}
             else:
+                step = registry.migration(was, shape)
                 for f, pairs in states.items():
                     for p in pairs:
-                        p[1] = advance(rules, f, before, now, p[1])
-            before, last = now, (ver, text)
+                        p[1] = step.key(f, p[1], before, now)
+            before, was, last = now, shape, (ver, text)
         if at:
             yield done(*at, first, last, states)
 
     def chain(batches):
         """The state each block but a name's first starts from."""
-        at = None
+        registry, at = Registry(rules), None
         for n, blk, first, last_version, last, states in _rows(batches):
-            now, maps = entries(first), json.loads(states)
+            now = document(first)
+            shape, maps = registry.shape(now), json.loads(states)
             if n != at:
-                held = {f: spelled(rules, now, f) for f in rules.fields}
+                held = dict(shape.own)
             else:
                 yield pd.DataFrame([{"name": n, "block": blk, "p_version": prev[0], "p_content": prev[1], "p_state": json.dumps(held)}])
-                held = {f: advance(rules, f, entries(prev[1]), now, held[f]) for f in rules.fields}
-            held = {f: dict((a or "", b) for a, b in maps[f])[held[f] or ""] for f in rules.fields}
+                before = document(prev[1])
+                step = registry.migration(registry.shape(before), shape)
+                held = {f: step.key(f, held[f], before, now) for f in rules.fields}
+            held = {f: {a: b for a, b in maps[f]}[held[f]] for f in rules.fields}  # None stands for no key
             at, prev = n, (last_version, last)
 
     def migrate(batches):
-        out, at = [], None
+        registry, out, at = Registry(rules), [], None
         for n, blk, ver, text, p_version, p_content, p_state in _versions(batches):
-            now = entries(text)
+            now = document(text)
+            shape = registry.shape(now)
             if at != (n, blk):
-                at = (n, blk)
-                if p_state is not None:
-                    prev, before, held = int(p_version), entries(p_content), json.loads(p_state)
-                else:
-                    prev, before, held = None, {}, dict.fromkeys(rules.fields)
-            steps = []
-            new = {}
-            for f in rules.fields:
-                new[f] = advance(rules, f, before, now, held[f])
-                if prev is not None:
-                    steps += migration(f, before, now, held[f], new[f])
-            out.append({"name": n, "version": ver, "prev_version": prev, "fingerprint": fingerprint(now), **_texts(now, new, rules), "steps": steps})
-            prev, before, held = ver, now, new
+                at, prev = (n, blk), None
+                if isinstance(p_state, str):
+                    prev, before, held = int(p_version), document(p_content), json.loads(p_state)
+                    was = registry.shape(before)
+            if prev is None:
+                new, steps = dict(shape.own), []
+            else:
+                step = registry.migration(was, shape)
+                new = {f: step.key(f, held[f], before, now) for f in rules.fields}
+                steps = [x for f in rules.fields for x in step.steps(f, held[f], new[f])]
+            row = {"name": n, "version": ver, "prev_version": prev, "prev_fingerprint": None if prev is None else was.fingerprint, "fingerprint": shape.fingerprint}
+            out.append({**row, **{f: _text(now, k) for f, k in new.items()}, "steps": steps})
+            prev, before, was, held = ver, now, shape, new
             if len(out) >= 2000:
                 yield pd.DataFrame(out).astype({"prev_version": "Int64"})
                 out = []
@@ -213,7 +261,7 @@ def conform(
             yield pd.DataFrame(out).astype({"prev_version": "Int64"})
 
     blocks = (
-        picked.join(long_names, "name", "left_semi")
+        picked(known.join(many, F.col(name) == F.col("l_name"), "left_semi"))
         .repartition("name", "block")
         .sortWithinPartitions("name", "block", "version", *newest_first)
         .select("name", "block", "version", "content")
@@ -226,14 +274,22 @@ def conform(
     )
     values = ", ".join(f"`{f}` string" for f in rules.fields)
     return (
-        picked.join(incoming, ["name", "block"], "left")
+        picked(known)
+        .join(incoming, ["name", "block"], "left")
         .repartition("name", "block")
         .sortWithinPartitions("name", "block", "version", *newest_first)
         .select("name", "block", "version", "content", "p_version", "p_content", "p_state")
-        .mapInPandas(migrate, f"name string, version long, prev_version long, fingerprint string, {values}, steps {STEPS}")
+        .mapInPandas(migrate, f"name string, version long, prev_version long, prev_fingerprint string, fingerprint string, {values}, steps {STEPS}")
     )
 
 
 def changes(conformed: DataFrame) -> DataFrame:
-    """The list of changes: ``name``, ``version``, ``field``, ``change`` and what changed."""
-    return conformed.select("name", "version", F.explode("steps").alias("s")).select("name", "version", "s.*")
+    """The list of changes: ``name``, ``version``, the fingerprints it leads from and to, ``field``, ``change`` and what changed."""
+    at = ["name", "version", F.col("prev_fingerprint").alias("from_fingerprint"), F.col("fingerprint").alias("to_fingerprint")]
+    return conformed.select(*at, F.explode("steps").alias("s")).select("name", "version", "from_fingerprint", "to_fingerprint", "s.*")
+
+
+def migrations(conformed: DataFrame) -> DataFrame:
+    """The registry as a table: every step between two fingerprints that was taken, and by how many versions (``n``)."""
+    by = ["from_fingerprint", "to_fingerprint", "field", "change", "from_key", "to_key", "from_type", "to_type"]
+    return changes(conformed).groupBy(*by).agg(F.count("*").alias("n"))

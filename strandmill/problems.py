@@ -284,7 +284,7 @@ _P5 = """
 with recursive s as (select name, version, arg_max(content, (received, sidecar_id, content)) as content from sidecar where name is not null and version is not null group by 1, 2),
 v as (select *, row_number() over (partition by name order by version) as n from s),
 k as (select name, version, n, content, unnest(json_keys(content)) as key from v where json_valid(content) and json_type(content) = 'OBJECT'),
-e as (select name, n, key, val, case when t in ('BIGINT', 'UBIGINT', 'HUGEINT', 'DOUBLE') then 'number' else lower(t) end as t from
+e as (select name, n, key, val, case when t in ('BIGINT', 'UBIGINT', 'HUGEINT', 'DOUBLE') then 'number' when t = 'VARCHAR' then 'string' else lower(t) end as t from
   (select name, n, key, json_extract(content, '$."' || key || '"') as val, json_type(json_extract(content, '$."' || key || '"')) as t from k) where t <> 'NULL'),
 f as (select unnest(['type', 'datasubtype', 'probemap']) as field),
 own as (select name, n, field, min(key) as own from e join f on regexp_replace(lower(key), '[:_. -]', '', 'g') = field group by 1, 2, 3),
@@ -312,10 +312,40 @@ P5_FOUND = (
   when 'renamed' then prev is not null and held is not null and prev <> held else prev is not null and held is not null and t0 <> t1 end"""
 )
 
+def p5_migrations(spark: SparkSession, sf: str) -> DataFrame:
+    """The steps from schema to schema, and how many versions took each."""
+    return schema_drift.migrations(p5_conformed(spark, sf))
+
+
+# strings as they are, all else as JSON text; the fingerprint is of the sorted keys and types
+_P5_VALUES = """,
+fp as (select name, n, md5(string_agg(key || chr(31) || t, chr(30) order by key)) as fingerprint from e group by 1, 2),
+tv as (select r.name, r.n, r.field, r.prev, r.held, a.t as t0, b.t as t1, case when b.t = 'string' then b.val ->> '$' else b.val::varchar end as val
+  from r left join e a on a.name = r.name and a.n = r.n - 1 and a.key = r.prev left join e b on b.name = r.name and b.n = r.n and b.key = r.held)
+"""
+P5_TABLE = (
+    _P5.rstrip()
+    + _P5_VALUES
+    + """select v.name, v.version::int as version, coalesce(fp.fingerprint, md5('')) as fingerprint, max(val) filter (field = 'type') as type,
+  max(val) filter (field = 'datasubtype') as datasubtype, max(val) filter (field = 'probemap') as probemap
+from v left join fp on fp.name = v.name and fp.n = v.n left join tv on tv.name = v.name and tv.n = v.n group by 1, 2, 3"""
+)
+P5_MIGRATIONS = (
+    _P5.rstrip()
+    + _P5_VALUES
+    + """select coalesce(p.fingerprint, md5('')) as from_fingerprint, coalesce(q.fingerprint, md5('')) as to_fingerprint, field, change,
+  prev as from_key, held as to_key, t0 as from_type, t1 as to_type, count(*) as n
+from tv left join fp p on p.name = tv.name and p.n = tv.n - 1 left join fp q on q.name = tv.name and q.n = tv.n,
+  (select unnest(['added', 'removed', 'renamed', 'retyped']) as change) c
+where tv.n > 1 and case change when 'added' then prev is null and held is not null when 'removed' then prev is not null and held is null
+  when 'renamed' then prev is not null and held is not null and prev <> held else prev is not null and held is not null and t0 <> t1 end
+group by 1, 2, 3, 4, 5, 6, 7, 8"""
+)
+
 QUERIES = {
-    f.__name__: f for f in (p1_found, p2_found, p2_valid, p3_found, p3_runs, p4_found, p4_cascade, p4_report, p5_found, p5_table)
+    f.__name__: f for f in (p1_found, p2_found, p2_valid, p3_found, p3_runs, p4_found, p4_cascade, p4_report, p5_found, p5_table, p5_migrations)
 }
 
 SQL = {
-    "p1_found": P1_FOUND, "p2_found": P2_FOUND, "p2_valid": P2_VALID, "p3_found": P3_FOUND, "p3_runs": P3_RUNS, "p4_found": P4_FOUND, "p4_cascade": P4_CASCADE, "p4_report": P4_REPORT, "p5_found": P5_FOUND,
+    "p1_found": P1_FOUND, "p2_found": P2_FOUND, "p2_valid": P2_VALID, "p3_found": P3_FOUND, "p3_runs": P3_RUNS, "p4_found": P4_FOUND, "p4_cascade": P4_CASCADE, "p4_report": P4_REPORT, "p5_found": P5_FOUND, "p5_table": P5_TABLE, "p5_migrations": P5_MIGRATIONS,
 }

@@ -91,3 +91,30 @@ def test_against_brute_force_and_over_blocks(spark):
     want = brute(data)
     assert changes(spark, data) == want
     assert changes(spark, data, block_bits=2) == want
+
+
+def test_an_empty_key_is_a_key(spark):
+    # the key '' stands for the field over the edge of a block
+    data = versions({"type": "a"}, {"": "a"}, {"": "a", "x": 1}, {"": "b"}, {"y": "b"}, {})
+    assert changes(spark, data) == changes(spark, data, block_bits=1) == [("n", 2, "type", "renamed"), ("n", 5, "type", "renamed"), ("n", 6, "type", "removed")]
+
+
+def test_versions_are_routed_by_fingerprints():
+    registry = D.Registry(RULES)
+    docs = [{"type": "a", "n": 1}, {"kind": "a", "n": 2}]
+    steps = set()
+    for v in range(100):  # other values, the same schemas
+        a, b = ({**d, "n": v} for d in docs)
+        step = registry.migration(registry.shape(a), registry.shape(b))
+        assert step.key("type", "type", a, b) == "kind"
+        steps.add(id(step))
+    assert len(steps) == len(registry.migrations) == 1 and len(registry.shapes) == 2
+    # the order of the keys makes no other schema
+    assert registry.shape({"n": 1, "type": "a"}).fingerprint == registry.shape(docs[0]).fingerprint
+
+
+def test_registry_table(spark):
+    data = versions({"type": "a"}, {"kind": "a"}) + versions({"type": "b"}, {"kind": "b"}, name="m") + versions({"type": "b"}, {"type": 1}, name="k")
+    df = D.conform(spark.createDataFrame(data, SCHEMA), RULES, newest=("received",))
+    got = {(r["change"], r["from_key"], r["to_key"], r["from_type"], r["to_type"]): r["n"] for r in D.migrations(df).collect()}
+    assert got == {("renamed", "type", "kind", "string", "string"): 2, ("retyped", "type", "type", "string", "number"): 1}
