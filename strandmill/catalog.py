@@ -202,8 +202,9 @@ class Catalog:
         rows = make() if make else []
         return rows if isinstance(rows, DataFrame) else self.spark.createDataFrame(rows, SYSTEM[name])
 
-    def views(self) -> dict[str, DataFrame]:
-        return {n: self.system(n) for n in [*SYSTEM, *(t for t in self.tables if t not in SYSTEM)]}
+    def names(self) -> set[str]:
+        """The tables that :meth:`system` knows."""
+        return {*SYSTEM, *self.tables}
 
     def _dataset(self) -> list[tuple]:
         import json

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from strandmill.catalog import ROW, Catalog
 from strandmill.functions.output import respond
 from strandmill.functions.scalars import nan_to_null, null_to_nan
-from strandmill.plans.column_query import column_query
+from strandmill.plans.column_query import collected, column_query
 from strandmill.plans.expression import run
 from strandmill.plans.fetch import fetch, long_values
 
@@ -28,7 +28,7 @@ def _dataset(catalog: Catalog, **where) -> DataFrame:
 
 
 def _list(df: DataFrame) -> list:
-    return [r[0] for r in df.collect()]
+    return [r[0] for r in collected(df)]
 
 
 def cohorts_df(dataset: DataFrame) -> DataFrame:
@@ -65,10 +65,25 @@ def dataset_type(catalog: Catalog, dataset: str) -> list[str]:
     return _list(_dataset(catalog, name=dataset).select("type"))
 
 
+def fields_df(dataset: DataFrame, field: DataFrame) -> DataFrame:
+    """``dataset``, ``id``, ``field`` of all fields of the given datasets; repeated rows count once."""
+    d = dataset.select(F.col("id").alias("d_id"), F.col("name").alias("dataset")).distinct()
+    f = field.select("id", "dataset_id", F.col("name").alias("field")).distinct()
+    return d.join(f, F.col("dataset_id") == F.col("d_id")).select("dataset", "id", "field")
+
+
 def dataset_field(catalog: Catalog, dataset: str) -> list[str]:
     """The fields of a dataset."""
-    d = _dataset(catalog, name=dataset).select(F.col("id").alias("d_id"))
-    return _list(d.join(catalog.system("field"), F.col("dataset_id") == F.col("d_id")).orderBy("id").select("name"))
+    return _list(fields_df(_dataset(catalog, name=dataset), catalog.system("field")).orderBy("id").select("field"))
+
+
+def with_flags(field: DataFrame, **tables: DataFrame) -> DataFrame:
+    """The ids of the fields, and for each table whether it has rows of the field: ``id``, ``has_<table>``."""
+    out = field.select("id").distinct()
+    for name, rows in tables.items():
+        have = rows.select(F.col("field_id").alias("__f")).distinct().withColumn("__has", F.lit(True))
+        out = out.join(have, F.col("id") == F.col("__f"), "left").withColumn(f"has_{name}", F.coalesce("__has", F.lit(False))).drop("__f", "__has")
+    return out
 
 
 def dataset_samples(catalog: Catalog, dataset: str) -> list[str]:
@@ -128,15 +143,21 @@ def dataset_gene_values(catalog: Catalog, dataset: str, samples: list[str], gene
     return [{"gene": g, "scores": [by[i]] if i in by else [[]]} for i, g in enumerate(genes)]
 
 
-def find_samples_by_field(catalog: Catalog, cohort: str, field: str, values: list) -> dict[str, list[str]]:
-    """The samples of a cohort that have one of ``values`` in ``field``, over all its datasets."""
-    found: dict[str, None] = {}
-    for name in datasets_list_in_cohort(catalog, cohort):
+def samples_by_field_df(catalog: Catalog, names: list[str], field: str, values: list) -> DataFrame:
+    """``dataset``, ``sampleID`` of the samples that have one of ``values`` in ``field``, over several datasets in one plan."""
+    out = catalog.spark.createDataFrame([], "dataset string, sampleID string")
+    for name in names:
         ds = catalog.dataset(name)
         if field in ds.fields and "sampleID" in ds.fields:
             q = {"select": ["sampleID"], "from": [name], "where": ["in", field, values]}
-            found |= {r["sampleID"]: None for r in column_query(catalog, q).collect()}
-    return {cohort: list(found)}
+            out = out.unionByName(column_query(catalog, q, ordered=False).select(F.lit(name).alias("dataset"), F.col("sampleID").cast("string").alias("sampleID")))
+    return out
+
+
+def find_samples_by_field(catalog: Catalog, cohort: str, field: str, values: list) -> dict[str, list[str]]:
+    """The samples of a cohort that have one of ``values`` in ``field``, over all its datasets."""
+    found = samples_by_field_df(catalog, datasets_list_in_cohort(catalog, cohort), field, values)
+    return {cohort: _list(found.select("sampleID").distinct().orderBy("sampleID"))}
 
 
 def patient_samples(catalog: Catalog, cohort: str, patients: list[str]) -> dict[str, list[str]]:

@@ -97,3 +97,23 @@ def array_mean(a: Column) -> Column:
     ok = F.filter(a, lambda x: x.isNotNull() & ~F.isnan(x))
     total = F.aggregate(ok, F.lit(0.0).cast("double"), lambda s, x: s + x.cast("double"))
     return F.when(F.size(ok) > 0, total / F.size(ok)).otherwise(F.lit(float("nan")))
+
+
+def array_scale(a: Column, factor: float, shift: float = 0.0) -> Column:
+    """Every number of an array times ``factor``, plus ``shift``."""
+    return F.transform(a, lambda x: x.cast("double") * F.lit(factor) + F.lit(shift))
+
+
+def array_minus(a: Column, b: Column) -> Column:
+    """Differences place by place; what one array lacks is NULL."""
+    return F.zip_with(a, b, lambda x, y: x.cast("double") - y.cast("double"))
+
+
+def sorted_union(a: Column, b: Column) -> Column:
+    """The distinct entries of two arrays, in order."""
+    return F.array_sort(F.array_union(a, b))
+
+
+def sorted_except(a: Column, b: Column) -> Column:
+    """The distinct entries of one array that another lacks, in order."""
+    return F.array_sort(F.array_except(a, b))

@@ -134,10 +134,11 @@ def split_lists(pred, ds: Dataset) -> tuple[list, object]:
     return long, ["and", *rest]
 
 
-def column_query(catalog: Catalog, query: dict, case_sensitive_genes: bool = False) -> DataFrame:
+def column_query(catalog: Catalog, query: dict, case_sensitive_genes: bool = False, ordered: bool = True) -> DataFrame:
     """``__row`` and the selected fields of the rows that match, in row order.
 
-    Selecting a field twice gives it once; a field the dataset lacks is NULL.
+    For a result that is joined or aggregated further ``ordered`` can be off,
+    which saves the sort; with a limit or an offset it is always on. Selecting a field twice gives it once; a field the dataset lacks is NULL.
     An empty ``and`` matches all rows, an empty ``or`` none. Limit and offset
     count matching rows.
     """
@@ -158,7 +159,8 @@ def column_query(catalog: Catalog, query: dict, case_sensitive_genes: bool = Fal
         df = df.join(rows.select(F.col("v").cast(kind).alias("__v") if isinstance(kind, (T.FloatType, T.DoubleType)) else F.col("v").alias("__v")), F.col(f"`{word(name)}`") == F.col("__v"), "left_semi")
     df = df.select(ROW, *[F.col(f"`{s}`") for s in select])
     limit, offset = part(query, "limit"), part(query, "offset")
-    df = df.orderBy(ROW)
+    if ordered or offset or limit is not None:
+        df = df.orderBy(ROW)
     if offset:
         df = df.offset(int(offset))
     if limit is not None:
@@ -166,10 +168,23 @@ def column_query(catalog: Catalog, query: dict, case_sensitive_genes: bool = Fal
     return df
 
 
-def columnar(df: DataFrame) -> dict[str, list]:
-    """A result as field -> values in row order."""
+#: rows an answer may have; more of them are an error, for which the frame itself is to be used
+ANSWER_ROWS = 2_000_000
+
+
+def collected(df: DataFrame, most: int | None = None) -> list:
+    """The rows of an answer; raises, before they are all fetched, if there are more than ``most``."""
+    most = ANSWER_ROWS if most is None else most
+    rows = df.take(most + 1)
+    if len(rows) > most:
+        raise QueryError(f"the answer has more than {most} rows; use a limit or the frame")
+    return rows
+
+
+def columnar(df: DataFrame, most: int | None = None) -> dict[str, list]:
+    """A result as field -> values in row order; at most ``most`` rows (``ANSWER_ROWS``), or it raises."""
     names = [c for c in df.columns if c != ROW]
-    rows = df.collect()
+    rows = collected(df, most)
     return {n: [plain(r[n]) for r in rows] for n in names}
 
 

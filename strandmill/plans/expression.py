@@ -11,7 +11,7 @@ from collections.abc import Callable
 import numpy as np
 
 from strandmill.catalog import Catalog, UnknownSymbol
-from strandmill.plans.column_query import column_query, columnar, plain
+from strandmill.plans.column_query import collected, column_query, columnar, plain
 from strandmill.plans.fetch import fetch
 from strandmill.plans.forms import Call, Form, Keyword, MapForm, SetForm, Symbol, freeze, quoted, read
 from strandmill.plans.relational import relational_query
@@ -200,9 +200,9 @@ def data_functions(catalog: Catalog, names: dict[str, str] | None = None) -> dic
     """
 
     def query(q):
-        rows = relational_query(catalog, q).collect()
-        return [{Keyword(k): plain(v) for k, v in r.asDict().items()} for r in rows]
+        return [{Keyword(k): plain(v) for k, v in r.asDict().items()} for r in collected(relational_query(catalog, q))]
 
+    query.frame = lambda q: relational_query(catalog, q)  # for calls that need less than all rows and columns
     out = {
         "query": query,
         "column-query": lambda q: columnar(column_query(catalog, q)),
@@ -226,6 +226,11 @@ def evaluate(node, scopes: list[dict]):
         f = evaluate(node[0], scopes)
         if any(f is s for s in SPECIALS.values()):
             return f(node, scopes)
+        if (frame := _queried(node[-1], scopes)) is not None:
+            if f is FUNCTIONS["map"] and len(node) == 3 and isinstance(node[1], Keyword):
+                return _column(frame, node[1].name)
+            if f is FUNCTIONS["count"] and len(node) == 2:
+                return float(frame.count())
         return invoke(f, *[evaluate(x, scopes) for x in node[1:]])
     if isinstance(node, bool) or node is None or isinstance(node, (str, Keyword)):
         return node
@@ -242,6 +247,21 @@ def evaluate(node, scopes: list[dict]):
     return node
 
 
+def _queried(node, scopes):
+    """The frame of an argument that is a call of the relational query; None if it isn't."""
+    if not (isinstance(node, Form) and len(node) == 2 and isinstance(node[0], Symbol)):
+        return None
+    f = evaluate(node[0], scopes)
+    return f.frame(evaluate(node[1], scopes)) if hasattr(f, "frame") else None
+
+
+def _column(frame, name: str) -> list:
+    """``(map :name (query ...))``: one column is planned and fetched, not all."""
+    if name not in frame.columns:
+        return [None] * frame.count()
+    return [plain(r[0]) for r in collected(frame.select(f"`{name}`"))]
+
+
 def _fn(node, scopes):
     _, names, body = node
 

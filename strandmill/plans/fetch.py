@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from functools import reduce
 
 from pyspark.sql import DataFrame
@@ -36,19 +37,19 @@ def long_values(catalog: Catalog, table: str, columns: list[str], samples: list)
     ds = catalog.dataset(table)
     slots = wanted(ds, samples)
     if ds.is_matrix:
-        cells = ds.values.where(F.col("field").isin([c for c in columns if c in ds.fields]))
-        rows = ds.samples.withColumnRenamed("sample", "sampleID")
-        placed = gather(slots, rows, "sampleID")
         if not columns:
             return catalog.spark.createDataFrame([], f"col int, pos int, {ROW} long, value double")
-        names = catalog.spark.createDataFrame(list(enumerate(columns)), "c_col int, field string")
-        picked = names.join(cells, "field").select(
-            "c_col", "field", F.posexplode(F.arrays_zip("values", "codes")).alias("c_row", "v")
-        )
-        # the request's own grid: a slot per sample and column, filled from the cells by an equi-join
-        grid = placed.select("pos", ROW, F.explode(F.array(*[F.lit(i) for i in range(len(columns))])).alias("col"))
-        out = grid.join(picked, (F.col("col") == F.col("c_col")) & (F.col(ROW) == F.col("c_row")), "left").select(
-            "col", "field", "pos", ROW, F.col("v.values").cast("double").alias("value"), F.col("v.codes").alias("text")
+        # the places of the samples that are asked for, as many as the request names; cells are then taken by
+        # their place in the field's array, so of a field with any number of samples only these leave the scan
+        rows = ds.samples.withColumnRenamed("sample", "sampleID")
+        placed = [(r["pos"], r[ROW]) for r in gather(slots, rows, "sampleID").select("pos", ROW).collect()]
+        spots = F.from_json(F.lit(json.dumps([{"pos": p, ROW: r} for p, r in placed])), f"array<struct<pos: int, {ROW}: long>>")
+        names = catalog.spark.createDataFrame(list(enumerate(columns)), "col int, field string")
+        cells = ds.values.where(F.col("field").isin([c for c in columns if c in ds.fields]))
+        at = lambda a, x: F.get(a, x[ROW].cast("int"))  # noqa: E731 - NULL for a sample that is unknown
+        filled = F.transform(spots, lambda x: F.struct(x["pos"].alias("pos"), x[ROW].alias(ROW), at(F.col("values"), x).alias("value"), at(F.col("codes"), x).alias("text")))
+        out = names.join(cells, "field", "left").select("col", "field", F.explode(filled).alias("x")).select(
+            "col", "field", "x.pos", f"x.{ROW}", F.col("x.value").cast("double").alias("value"), "x.text"
         )
     else:
         known = [c for c in columns if c in ds.fields and ds.fields[c].type in ("float", "category")]

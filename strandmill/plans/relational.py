@@ -29,7 +29,7 @@ FUNCTIONS = frozenset(
 #: fixed values: spelling of operators
 BINARY = {"=": "=", "==": "=", "<>": "<>", "!=": "<>", "not=": "<>", "<": "<", ">": ">", "<=": "<=", ">=": ">=", "like": "LIKE", "regexp": "RLIKE",
           "+": "+", "-": "-", "*": "*", "/": "/", "%": "%", "mod": "%"}
-JOINS = {"join": "INNER JOIN", "left-join": "LEFT JOIN", "right-join": "RIGHT JOIN", "full-join": "FULL JOIN"}
+JOINS = {"join": "INNER JOIN", "left-join": "LEFT JOIN", "right-join": "RIGHT JOIN", "full-join": "FULL JOIN", "semi-join": "LEFT SEMI JOIN", "anti-join": "LEFT ANTI JOIN"}
 CLAUSES = {"select", "modifiers", "from", "where", "group-by", "having", "order-by", "limit", "offset", "cross-join", *JOINS}
 SET_OPS = {"union": "UNION", "union-all": "UNION ALL", "intersect": "INTERSECT", "except": "EXCEPT"}
 NAME = re.compile(r"[A-Za-z_][A-Za-z0-9_]*$")
@@ -78,8 +78,8 @@ class Compiler:
 
     def __init__(self, catalog: Catalog):
         self.catalog = catalog
-        self.made: list[str] = []
-        self.views = {n: f"mill_{uuid.uuid4().hex}" for n in catalog.views()}
+        self.made: list[str] = []  # views, which go when the plan is made
+        self.views: dict[str, str] = {}  # table -> view; only of the tables that the query names
 
     # -- expressions -----------------------------------------------------
     def call(self, name: str, args: list) -> str:
@@ -204,11 +204,17 @@ class Compiler:
             return f"{name} AS {ident(alias)}"
         name = ident(x).replace("`", "")
         if name not in self.views:
-            raise QueryError(f"unknown table {name!r}")
-        self.catalog.system(name).createOrReplaceTempView(self.views[name]) if self.views[name] not in self.made else None
-        self.made.append(self.views[name])
+            if name not in self.catalog.names():
+                raise QueryError(f"unknown table {name!r}")
+            self.views[name] = self.view(self.catalog.system(name))
         return f"`{self.views[name]}` AS {ident(alias) if alias is not None else f'`{name}`'}"
 
+    def view(self, df: DataFrame) -> str:
+        name = f"mill_{uuid.uuid4().hex}"
+        df.createOrReplaceTempView(name)
+        self.made.append(name)
+        return name
+
     def inline(self, columns) -> str:
         """``[[name type values]...]`` as a view; the planner broadcasts it after a check of its size."""
         kinds = {"varchar": "string", "int": "int", "integer": "int", "bigint": "bigint", "double": "double", "float": "float", "boolean": "boolean"}
@@ -224,10 +230,7 @@ class Compiler:
             data.append([None if v is None else cast(v) for v in values])
         if len({len(d) for d in data}) > 1:
             raise QueryError("columns of a literal table differ in length")
-        view = f"mill_{uuid.uuid4().hex}"
-        self.catalog.spark.createDataFrame(list(zip(*data)), ", ".join(schema)).createOrReplaceTempView(view)
-        self.made.append(view)
-        return f"`{view}`"
+        return f"`{self.view(self.catalog.spark.createDataFrame(list(zip(*data)), ', '.join(schema)))}`"
 
     # -- queries -----------------------------------------------------------
     def column(self, x) -> str:
@@ -235,6 +238,16 @@ class Compiler:
             return f"{self.expr(x[0])} AS {ident(x[1])}"
         return self.expr(x)
 
+    def grouped(self, x, keys: list[str]) -> str:
+        """A selected column of a grouped query; a plain column that is no key has any of its values in the group."""
+        name, alias = (x[0], x[1]) if isinstance(x, (list, tuple)) and len(x) == 2 and is_name(x[1]) and is_name(x[0]) else (x, None)
+        if not is_name(name) or text_of(name).startswith("%") or text_of(name).endswith("*"):
+            return self.column(x)
+        sql = ident(name)
+        if sql in keys or (sql.count(".") == 0 and any(k.endswith("." + sql) for k in keys)) or (sql.split(".")[-1] in keys):
+            return self.column(x)
+        return f"any_value({sql}) AS {ident(alias) if alias is not None else sql.split('.')[-1]}"
+
     def query(self, q: dict) -> str:
         q = {(text_of(k) if is_name(k) else str(k)).replace("_", "-"): v for k, v in q.items()}
         for k, sql in SET_OPS.items():
@@ -245,8 +258,10 @@ class Compiler:
             raise QueryError(f"not allowed in a query: {', '.join(sorted(bad))}")
         if "select" not in q:
             raise QueryError("only SELECT queries are allowed")
+        keys = [self.expr(g) for g in q.get("group-by") or []]
+        columns = [self.grouped(c, keys) if keys else self.column(c) for c in q["select"]]
         mods = [text_of(m) if is_name(m) else str(m) for m in q.get("modifiers", [])]
-        sql = "SELECT " + ("DISTINCT " if "distinct" in mods else "") + ", ".join(self.column(c) for c in q["select"])
+        sql = "SELECT " + ("DISTINCT " if "distinct" in mods else "") + ", ".join(columns)
         if q.get("from"):
             sql += " FROM " + ", ".join(self.table(t) for t in q["from"])
         for k, j in JOINS.items():
@@ -257,8 +272,8 @@ class Compiler:
             sql += f" CROSS JOIN {self.table(t)}"
         if q.get("where"):
             sql += f" WHERE {self.expr(q['where'])}"
-        if q.get("group-by"):
-            sql += " GROUP BY " + ", ".join(self.expr(g) for g in q["group-by"])
+        if keys:
+            sql += " GROUP BY " + ", ".join(keys)
         if q.get("having"):
             sql += f" HAVING {self.expr(q['having'])}"
         return sql + self.tail(q)
@@ -282,6 +297,10 @@ class Compiler:
 def relational_query(catalog: Catalog, q: dict) -> DataFrame:
     """The result of a query map, with lower-case column names."""
     c = Compiler(catalog)
-    df = catalog.spark.sql(c.query(q))
+    try:
+        df = catalog.spark.sql(c.query(q))  # resolves the views
+    finally:
+        for view in c.made:
+            catalog.spark.catalog.dropTempView(view)
     names = [n.lower() for n in df.columns]
     return df.toDF(*names)

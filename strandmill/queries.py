@@ -21,8 +21,9 @@ from strandmill.plans.column_query import column_query
 from strandmill.plans.fetch import long_values
 from strandmill.plans.forms import Call
 from strandmill.plans.relational import relational_query
-from strandmill.session import shared_dir, table
-from strandmill.sources.readers import tabbed
+from strandmill.session import own_dir, table
+from strandmill.sources.readers import number_names, tabbed
+from strandmill.streaming.counts import FolderCounts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -290,10 +291,8 @@ def dup_names_suffix(spark, sf):
 )
 def field_names(spark, sf):
     """The writer's rule on the catalog's own fields: names cut to 250 characters, repeats numbered."""
-    cut = F.substring("name", 1, 250)
-    f = table(spark, sf, "field").distinct().where("dataset_id is not null and name is not null").withColumn("cut", cut)
-    ranked = A.rank_in_group(f, ["dataset_id", "cut"], ["id", "name"])
-    return ranked.select("id", A.suffixed(F.col("cut"), F.col("n")).alias("field"), (F.length("name") > 250).alias("long_name"))
+    f = table(spark, sf, "field").distinct().where("dataset_id is not null and name is not null")
+    return number_names(f, "name", "id", "name", within=["dataset_id"]).select("id", "field", F.col("__long").alias("long_name"))
 
 
 @query("select l_orderkey, list(l_partkey order by l_linenumber, l_partkey) as parts from lineitem group by 1")
@@ -304,7 +303,8 @@ def group_by_rows(spark, sf):
 
 @query("select max(n) as n_rows from (select l_suppkey, count(*) as n from lineitem group by 1)")
 def dataset_row_count(spark, sf):
-    return table(spark, sf, "lineitem").groupBy("l_suppkey").agg(F.count("*").alias("n")).agg(F.max("n").alias("n_rows"))
+    by = {":select": [":l_suppkey", [":%count.*", ":n"]], ":from": [":lineitem"], ":group-by": [":l_suppkey"]}
+    return relational_query(catalog(spark, sf, "lineitem"), {":select": [[":%max.n", ":n_rows"]], ":from": [[by, ":t"]]})
 
 
 # -- relational queries -------------------------------------------------------------
@@ -346,8 +346,8 @@ def join_full(spark, sf):
 
 @query("select c_custkey from customer where c_custkey not in (select o_custkey from orders where o_totalprice > 300000)")
 def join_anti(spark, sf):
-    dear = table(spark, sf, "orders").where("o_totalprice > 300000")
-    return table(spark, sf, "customer").join(dear, F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey")
+    q = {":select": [":c_custkey"], ":from": [":customer"], ":anti-join": [":orders", [":and", [":=", ":c_custkey", ":o_custkey"], [":>", ":o_totalprice", 300000]]]}
+    return relational_query(catalog(spark, sf, "customer", "orders"), q)
 
 
 @query("select o_orderkey from orders where o_custkey in (1, 5, 9, 77, 1400)")
@@ -464,24 +464,20 @@ def datasets_in_cohort(spark, sf):
 
 @query("select d.name as dataset, f.name as field from (select distinct id, name from dataset) d join (select distinct * from field) f on d.id = f.dataset_id")
 def dataset_fields(spark, sf):
-    d = table(spark, sf, "dataset").select("id", F.col("name").alias("dataset")).distinct()
-    f = table(spark, sf, "field").distinct().select("dataset_id", F.col("name").alias("field"))
-    return d.join(f, F.col("id") == F.col("dataset_id")).select("dataset", "field")
+    return client.fields_df(table(spark, sf, "dataset"), table(spark, sf, "field")).select("dataset", "field")
 
 
 @query("select id, name from source where id not in (select source_id from dataset_source where source_id is not null)")
 def unused_sources(spark, sf):
-    links = table(spark, sf, "dataset_source").select("source_id")
-    return table(spark, sf, "source").join(links, F.col("id") == F.col("source_id"), "left_anti").select("id", "name")
+    q = {":select": [":source.id", ":source.name"], ":from": [":source"], ":anti-join": [":dataset-source", [":=", ":source.id", ":dataset-source.source-id"]]}
+    return relational_query(catalog(spark, sf, "source", "dataset_source"), q)
 
 
 @query(
     """select distinct f.id, exists (select 1 from field_position p where p.field_id = f.id) as has_position from field f"""
 )
 def has_position(spark, sf):
-    have = table(spark, sf, "field_position").select("field_id").distinct().withColumn("has", F.lit(True))
-    f = table(spark, sf, "field").select("id").distinct()
-    return f.join(have, F.col("id") == F.col("field_id"), "left").select("id", F.coalesce("has", F.lit(False)).alias("has_position"))
+    return client.with_flags(table(spark, sf, "field"), position=table(spark, sf, "field_position"))
 
 
 @query(
@@ -562,8 +558,7 @@ def tab_tokens(spark, sf):
 
 @query("select vec_id, list_transform(embedding, lambda x: x::double * 2.0::double + 1.0::double) as v from embeddings")
 def vector_scale(spark, sf):
-    scaled = F.transform("embedding", lambda x: x.cast("double") * 2.0 + 1.0)
-    return table(spark, sf, "embeddings").select("vec_id", scaled.alias("v"))
+    return table(spark, sf, "embeddings").select("vec_id", S.array_scale(F.col("embedding"), 2.0, 1.0).alias("v"))
 
 
 @query("select vec_id, round(list_avg(list_transform(embedding, lambda x: x::double)), 6) as m from embeddings")
@@ -580,8 +575,7 @@ def matrix_mean(spark, sf):
 
 @query("select vec_id, list_transform(list_zip(embedding, list_reverse(embedding)), lambda z: z[1]::double - z[2]::double) as v from embeddings")
 def vector_minus(spark, sf):
-    d = F.zip_with("embedding", F.reverse("embedding"), lambda a, b: a.cast("double") - b.cast("double"))
-    return table(spark, sf, "embeddings").select("vec_id", d.alias("v"))
+    return table(spark, sf, "embeddings").select("vec_id", S.array_minus(F.col("embedding"), F.reverse("embedding")).alias("v"))
 
 
 @query(
@@ -596,84 +590,9 @@ def float_format(spark, sf):
 @query("select event_type, count(*) as n, max(event_id) as last_id from events group by 1")
 def stream_counts(spark, sf):
     """A folder as a stream: every micro-batch adds its partial counts, keyed by batch, to a table in the shared folder."""
-    import uuid
-
-    schema = table(spark, sf, "events").schema
-    at = f"{shared_dir(spark).rstrip('/')}/stream-{uuid.uuid4().hex}"
-
-    def add(batch: DataFrame, batch_id: int) -> None:
-        # a batch that is run again writes to the same place, so it counts once
-        batch.groupBy("event_type").agg(F.count("*").alias("n"), F.max("event_id").alias("last_id")).write.mode("overwrite").parquet(f"{at}/out/batch={batch_id}")
-
-    rows = spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").load(f"{sf}/events.parquet*")
-    rows.writeStream.foreachBatch(add).option("checkpointLocation", f"{at}/state").trigger(availableNow=True).start().awaitTermination()
-    parts = spark.read.parquet(f"{at}/out")
-    return parts.groupBy("event_type").agg(F.sum("n").alias("n"), F.max("last_id").alias("last_id"))
-
-
-# -- files ---------------------------------------------------------------------------
-def _loaded(spark: SparkSession, files: dict[str, str]) -> Catalog:
-    """Write files to a folder of their own in the shared folder, load them, and give the catalog."""
-    import uuid
-
-    from strandmill.sources.files import Files
-    from strandmill.sources.loader import Loader
-
-    at = f"{shared_dir(spark).rstrip('/')}/files-{uuid.uuid4().hex}".removeprefix("file://").removeprefix("file:")
-    out = Files(spark)
-    for name, text in files.items():
-        out.write(f"{at}/docs/{name}", text)
-    c = Catalog(spark)
-    loader = Loader(c, f"{at}/docs", f"{at}/store")
-    for name in files:
-        if not name.endswith(".json"):
-            loader.load(name)
-    return c
-
-
-def _nations(spark: SparkSession, sf: str) -> list:
-    """The 25 rows of a table of fixed size."""
-    return table(spark, sf, "nation").orderBy("n_nationkey").collect()
-
-
-@query("select n_name as \"sampleID\", n_nationkey::float as \"key\", case when n_regionkey <> 2 then 'R' || n_regionkey end as region from nation where n_regionkey in (0, 2, 3)")
-def ingest_clinical(spark, sf):
-    """A clinical table from its file: a float field, a category with missing cells, and a predicate on the float."""
-    rows = [f"{r.n_name}\t{r.n_nationkey}\t{r.n_regionkey}\t{'' if r.n_regionkey == 2 else f'R{r.n_regionkey}'}" for r in _nations(spark, sf)]
-    c = _loaded(spark, {"clin": "\n".join(["id\tkey\tregionkey\tregion", *rows]) + "\n", "clin.json": '{"type": "clinicalMatrix"}'})
-    q = {"select": ["sampleID", "key", "region"], "from": ["clin"], "where": ["in", "regionkey", [0, 2, 3, None]]}
-    return column_query(c, q).drop(ROW)
-
-
-@query(
-    """select n_name as "sampleID", case when n_nationkey % 5 <> 0 then n_nationkey * 1.5 end::float as p1, case when n_regionkey = 1 then 'one' else 'other' end as p2
-    from nation where n_regionkey = 1"""
-)
-def ingest_matrix(spark, sf):
-    """A matrix of fields by samples from its file, asked like a table."""
-    ns = _nations(spark, sf)
-    rows = [
-        ["probe", *[r.n_name for r in ns]],
-        ["p1", *["NA" if r.n_nationkey % 5 == 0 else str(r.n_nationkey * 1.5) for r in ns]],
-        ["p2", *["one" if r.n_regionkey == 1 else "other" for r in ns]],
-    ]
-    c = _loaded(spark, {"m": "\n".join("\t".join(r) for r in rows) + "\n"})
-    return column_query(c, {"select": ["sampleID", "p1", "p2"], "from": ["m"], "where": ["in", "p2", ["one"]]}).drop(ROW)
-
-
-@query(
-    """select row_number() over (order by 'chr' || (n_nationkey % 3 + 9), 1000 - n_nationkey) - 1 as row_no, n_name as name,
-      'chr' || (n_nationkey % 3 + 9) as chrom, 1000 - n_nationkey + 1 as chromstart, 2000 as chromend, list_sort(['G' || n_regionkey, 'X']) as genes from nation"""
-)
-def ingest_probemap(spark, sf):
-    """A file of positions: sorted by chromosome as text and start, starts counted from 0, genes as lists."""
-    lines = [f"{r.n_name}\tG{r.n_regionkey}, ,X\t{r.n_nationkey % 3 + 9}\t{1000 - r.n_nationkey}\t2e3\t+" for r in _nations(spark, sf)]
-    c = _loaded(spark, {"p": "\n".join(["#id\tgenes\tchr\tstart\tend\tstrand", "", *lines]) + "\n", "p.json": '{"type": "probeMap", "start_index": 0}'})
-    df = c.dataset("p").df
-    return df.select(
-        F.col(ROW).alias("row_no"), "name", "position.chrom", F.col("position.chromStart").alias("chromstart"), F.col("position.chromEnd").alias("chromend"),
-        F.array_sort("genes").alias("genes"),
-    )
+    counts = FolderCounts(spark, f"{sf}/events.parquet*", table(spark, sf, "events").schema, own_dir(spark, "stream"), ["event_type"], "event_id")
+    counts.update()
+    return counts.read().withColumnRenamed("last", "last_id")
 
 
 # -- more of the engine ------------------------------------------------------------------
@@ -715,7 +634,7 @@ def sorted_sets(spark, sf):
     g = table(spark, sf, "nation").groupBy("n_regionkey").agg(
         F.collect_list("n_name").alias("a"), F.collect_list(F.when(F.col("n_nationkey") % 2 == 0, F.col("n_name"))).alias("b")
     )
-    return g.select("n_regionkey", F.array_sort(F.array_union("a", "b")).alias("both"), F.array_sort(F.array_except("a", "b")).alias("only_a"))
+    return g.select("n_regionkey", S.sorted_union(F.col("a"), F.col("b")).alias("both"), S.sorted_except(F.col("a"), F.col("b")).alias("only_a"))
 
 
 EXPRESSIONS = {

@@ -9,7 +9,8 @@ from dataclasses import dataclass
 from datetime import UTC, datetime
 
 from py4j.protocol import Py4JJavaError
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 @dataclass
@@ -92,6 +93,19 @@ class Files:
             fs.delete(p, False)
         return True
 
+    def write_lines(self, path: str, head: str, rows: DataFrame, *order: str) -> None:
+        """One text file: ``head``, then the column ``line`` of a frame in the given order; sorted and written by one task."""
+        top = self.spark.createDataFrame([(0, head)], "__g int, line string")
+        body = rows.select(F.lit(1).alias("__g"), "line", *order)
+        at = f"{path}.{uuid.uuid4().hex}.parts"
+        both = top.unionByName(body, allowMissingColumns=True).repartition(1).sortWithinPartitions("__g", *order)
+        both.select("line").write.text(at)
+        for part in self.names(at):
+            if part.startswith("part-"):
+                old, fs = self._at(f"{at}/{part}")
+                fs.rename(old, self._at(path)[0])
+        self.delete(at)
+
     def delete(self, path: str) -> None:
         p, fs = self._at(path)
         fs.delete(p, True)

@@ -1,7 +1,9 @@
 """Loading of files into the catalog: change detection, status, storage, deletion.
 
 A load writes new files first and then replaces the dataset's entry in one
-step, so queries see the old dataset until the new one is complete.
+step, so queries see the old dataset until the new one is complete. Files that
+no entry names any more stay for frames that were handed out before;
+:meth:`Loader.vacuum` deletes them.
 """
 
 from __future__ import annotations
@@ -91,8 +93,6 @@ class Loader:
             ds.meta["id"] = dataset_id
         self.catalog.add(ds)
         self._save(ds)
-        if old is not None and old.meta.get("data"):
-            self.files.delete(old.meta["data"])
         return ds
 
     def _read(self, kind: str, path: str, name: str, features: dict, start_index: int) -> Dataset:
@@ -121,7 +121,7 @@ class Loader:
         return ds
 
     def delete(self, path: str) -> bool:
-        """Remove a dataset and its files; False if there is none of this name."""
+        """Remove a dataset; False if there is none of this name. Its files go with :meth:`vacuum`."""
         name = self.name_of(path)
         ds = self.catalog.datasets.get(name)
         if ds is None:
@@ -129,10 +129,19 @@ class Loader:
         ds.meta["status"] = "deleting"
         self.files.delete(self._entry(name))
         self.catalog.delete(name)
-        if ds.meta.get("data"):
-            self.files.delete(ds.meta["data"])
         return True
 
+    def vacuum(self) -> list[str]:
+        """Delete the files of replaced and deleted datasets; the names of their folders.
+
+        To be called when no frame made before the last load or deletion is in use.
+        """
+        used = {posixpath.basename(d.meta["data"]) for d in self.catalog.datasets.values() if d.meta.get("data")}
+        old = [n for n in self.files.names(f"{self.store}/data") if n not in used]
+        for n in old:
+            self.files.delete(f"{self.store}/data/{n}")
+        return old
+
     def drop_dangling(self) -> list[str]:
         """Delete the datasets whose probe map is not in the catalog; their names."""
         known = set(self.catalog.datasets)

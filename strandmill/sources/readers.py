@@ -18,7 +18,6 @@ from strandmill.functions.scalars import MISSING_NUMBERS, normalize_chrom, parse
 from strandmill.operators.aggregates import first_codes, rank_in_group, suffixed
 
 MAX_NAME = 250
-SNIFF = 20
 
 
 @dataclass
@@ -65,13 +64,14 @@ def unique_names(names: list[str]) -> list[str]:
     return out
 
 
-def number_names(df: DataFrame, name: str, *order: str) -> DataFrame:
-    """Field names cut to ``MAX_NAME`` characters; repeated ones get `` (n)`` in file order.
+def number_names(df: DataFrame, name: str, *order: str, within: list[str] | None = None) -> DataFrame:
+    """Field names cut to ``MAX_NAME`` characters; repeated ones get `` (n)`` in the given order, which is that of the file.
 
-    Adds ``field``, ``__long`` and ``__dup``.
+    Adds ``field``, ``__long`` and ``__dup``. Names are numbered over the whole
+    frame, or among the rows with the same values of ``within``.
     """
     cut = df.withColumn("__cut", F.substring(name, 1, MAX_NAME)).withColumn("__long", F.length(name) > MAX_NAME)
-    ranked = rank_in_group(cut, ["__cut"], list(order), "__n")
+    ranked = rank_in_group(cut, [*(within or []), "__cut"], list(order), "__n")
     return ranked.withColumn("field", suffixed(F.col("__cut"), F.col("__n"))).withColumn("__dup", F.col("__n") > 1).drop("__n", "__cut")
 
 
@@ -213,21 +213,22 @@ def read_clinical(spark: SparkSession, path: str, name: str, features: dict[str,
 
 
 # -- files of positions ---------------------------------------------------------------
-#: fixed values: header patterns (whole header, any case) and the names they stand for
+#: fixed values: header names, in lower case without blanks, ``-`` and ``_``, by the names they stand for
 MUTATION = {
-    r"sample[ _]*(name|id)?": "sampleID", r"chr(om)?": "chrom", r"start": "chromStart", r"end": "chromEnd", r"genes?": "genes", r"alt(ernate)?": "alt",
-    r"ref(erence)?": "ref", r"effect": "effect", r"dna[-_ ]*v?af": "dna-vaf", r"rna[-_ ]*v?af": "rna-vaf", r"amino[-_ ]*acid[-_ ]*(change)?": "amino-acid",
+    "sampleID": ("sample", "samplename", "sampleid"), "chrom": ("chr", "chrom"), "chromStart": ("start",), "chromEnd": ("end",), "genes": ("gene", "genes"),
+    "alt": ("alt", "alternate"), "ref": ("ref", "reference"), "effect": ("effect",), "dna-vaf": ("dnavaf", "dnaaf"), "rna-vaf": ("rnavaf", "rnaaf"),
+    "amino-acid": ("aminoacid", "aminoacidchange"),
 }
 SEGMENT = {
-    r"sample[ _]*(name|id)?": "sampleID", r"chr(om)?": "chrom", r"start": "chromStart", r"end": "chromEnd", r"strand": "strand", r"value": "value",
+    "sampleID": ("sample", "samplename", "sampleid"), "chrom": ("chr", "chrom"), "chromStart": ("start",), "chromEnd": ("end",), "strand": ("strand",), "value": ("value",),
 }
 PROBEMAP = {
-    r"chr(om)?": "chrom", r"(chrom)?start": "chromStart", r"(chrom)?end": "chromEnd", r"strand": "strand", r"genes?": "genes", r"name|id": "name",
-    r"thickstart": "thickStart", r"thickend": "thickEnd", r"blockcount": "blockCount", r"blocksizes": "blockSizes", r"blockstarts": "blockStarts",
+    "chrom": ("chr", "chrom"), "chromStart": ("start", "chromstart"), "chromEnd": ("end", "chromend"), "genes": ("gene", "genes"), "name": ("name", "id"),
+    **{n: (n.lower(),) for n in ("strand", "thickStart", "thickEnd", "blockCount", "blockSizes", "blockStarts")},
 }
 GENEPRED = {
-    r"chr(om)?": "chrom", r"(tx|cds)start": "chromStart", r"(tx|cds)end": "chromEnd",
-    **{n.lower(): n for n in ("bin", "name", "strand", "exonCount", "exonStarts", "exonEnds", "score", "name2", "cdsStartStat", "cdsEndStat", "exonFrames")},
+    "chrom": ("chr", "chrom"), "chromStart": ("txstart", "cdsstart"), "chromEnd": ("txend", "cdsend"),
+    **{n: (n.lower(),) for n in ("bin", "name", "strand", "exonCount", "exonStarts", "exonEnds", "score", "name2", "cdsStartStat", "cdsEndStat", "exonFrames")},
 }
 #: fixed values: types of the names
 KINDS = {
@@ -245,14 +246,11 @@ REQUIRED = {"mutation": ("sampleID", "position", "ref", "alt")}
 POSITION = ("chrom", "chromStart", "chromEnd", "strand")
 
 
-def canonical_header(cells: list[str], patterns: dict[str, str], first: str | None = None) -> list[str]:
-    out = []
-    for i, c in enumerate(cells):
-        if i == 0 and first:
-            out.append(first)
-        else:
-            out.append(next((v for p, v in patterns.items() if re.fullmatch(p, c, re.I)), c))
-    return out
+def canonical_header(cells: list[str], names: dict[str, tuple[str, ...]], first: str | None = None) -> list[str]:
+    """The names that the cells of a header stand for; a cell that stands for none keeps its own."""
+    known = {alias: name for name, aliases in names.items() for alias in aliases}
+    out = [known.get(re.sub(r"[-_ ]", "", c.lower()), c) for c in cells]
+    return [first, *out[1:]] if first and out else out
 
 
 def collate_positions(header: list[str]) -> tuple[list[dict[str, int]], list[int]]:
@@ -277,9 +275,10 @@ def read_map(spark: SparkSession, path: str, name: str, kind: str, start_index:
     """Mutations, segments, probe maps or gene predictions: positions first, then the other columns in file order.
 
     Blank lines and lines that start with ``#`` after the header are skipped.
-    Columns that the format doesn't know are float if their first lines are
-    numbers, else category. With a position, rows are sorted by chromosome (as
-    text) and start; ties keep the order of the file.
+    Columns that the format doesn't know are float if all their cells are
+    numbers or missing, else category; a column that the format says is float
+    must be so, or the load fails. With a position, rows are sorted by
+    chromosome (as text) and start; ties keep the order of the file.
     """
     text = lines(spark, path)
     head = first_line(text)
@@ -290,19 +289,10 @@ def read_map(spark: SparkSession, path: str, name: str, kind: str, start_index:
     positions, others = collate_positions(header)
     if not positions and kind != "probemap":
         raise LoadError(f"{path} has no position")
-    sniff = [r["__c"] for r in body.orderBy("__b", "__m").select("__c").take(SNIFF)]
-
-    def sniffed(i: int) -> str:
-        for c in sniff:
-            v = c[i] if i < len(c) else ""
-            if v not in MISSING_NUMBERS:
-                try:
-                    float(v)
-                except ValueError:
-                    return "category"
-        return "float"
-
     cell = lambda i: F.coalesce(F.get("__c", F.lit(i)), F.lit(""))
+    # the types of all columns by one pass over all rows
+    counted = [i for i in others if KINDS[kind].get(header[i]) in (None, "float")]
+    numeric = body.agg(*[F.every(is_float(F.trim(cell(i)))).alias(f"c{i}") for i in counted]).first() if counted else {}
     shift = 1 if start_index == 0 else 0
     names = unique_names(["position"] * len(positions) + [header[i] for i in others])
     fields: dict[str, Field] = {}
@@ -317,7 +307,9 @@ def read_map(spark: SparkSession, path: str, name: str, kind: str, start_index:
         )
         fields[n] = Field(n, "position")
     for n, i in zip(names[len(positions) :], others):
-        k = KINDS[kind].get(header[i]) or sniffed(i)
+        k = KINDS[kind].get(header[i]) or ("category" if numeric[f"c{i}"] is False else "float")
+        if k == "float" and numeric[f"c{i}"] is False:
+            raise LoadError(f"field {n} has cells that are no numbers")
         fields[n] = Field(n, "category" if k == "starts" else k)
         v = parse_float_na(cell(i)) if k == "float" else split_genes(cell(i)) if k == "genes" else shift_int_csv(cell(i), shift) if k == "starts" else F.trim(cell(i))
         cols.append(v.alias(n))

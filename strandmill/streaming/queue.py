@@ -72,8 +72,8 @@ def watch(loads: LoadQueue, folder: str, checkpoint: str, once: bool = False) ->
 
     def each(batch, _):
         # paths only; a sidecar stands for the file beside it
-        for r in batch.select(F.regexp_replace("path", r"^file:/+|\.json$", "").alias("path")).distinct().toLocalIterator():
-            loads.put("/" + r["path"] if not r["path"].startswith("/") and "://" not in r["path"] else r["path"])
+        for r in batch.select(F.regexp_replace("path", r"\.json$", "").alias("path")).distinct().toLocalIterator():
+            loads.put(spark._jvm.org.apache.hadoop.fs.Path(r["path"]).toUri().getPath())
 
     writer = files.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer).start()

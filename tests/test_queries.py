@@ -7,12 +7,12 @@ from pathlib import Path
 
 import pytest
 
-from strandmill import problems, queries
+from strandmill import file_queries, problems, queries
 
 SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not Path(SF).exists(), reason="no test tables")
 duckdb = pytest.importorskip("duckdb")
-QUERIES, SQL = queries.QUERIES | problems.QUERIES, queries.SQL | problems.SQL
+QUERIES, SQL = queries.QUERIES | file_queries.QUERIES | problems.QUERIES, queries.SQL | file_queries.SQL | problems.SQL
 
 
 @pytest.fixture(scope="module")
