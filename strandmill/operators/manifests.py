@@ -19,7 +19,7 @@ skipped later or repeated.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strandmill.operators.versioned import VersionedTable
@@ -30,20 +30,32 @@ def build_manifests(listing: DataFrame, version: str, path: str, fingerprint: st
 
     Fingerprints are compared without letter case. Repeated rows count once;
     rows with a NULL version, path or record belong to no manifest; a NULL
-    fingerprint is a content of its own. Other columns are dropped. Copies and
-    records of one file are folded before they shuffle, so a file with very
-    many records meets its one least record and never lies in one task.
+    fingerprint is a content of its own. Other columns are dropped. Files are
+    folded to their least record before they shuffle; only the records of files
+    that have several meet them again, so a file with very many records never
+    lies in one task.
     """
     rows = (
         listing.select(
-            F.col(version).cast("long").alias("version"), F.col(path).cast("string").alias("path"),
-            F.lower(fingerprint).alias("fingerprint"), F.col(rec).cast("long").alias("rec"),
+            F.col(version).cast("long").alias("version"), F.col(path).cast("string").alias("path"), content(F.col(fingerprint)).alias("c"), F.col(rec).cast("long").alias("rec")
         )
         .where("version is not null and path is not null and rec is not null")
     )
-    key = F.struct("version", "path", "fingerprint")  # a struct with NULLs inside equals itself
-    least = rows.groupBy(key.alias("k")).agg(F.min("rec").alias("live"))
-    return rows.distinct().join(least, key == F.col("k")).select("version", "path", "fingerprint", "rec", (F.col("rec") > F.col("live")).alias("dead"))
+    files = rows.groupBy("version", "path", "c").agg(F.min("rec").alias("rec"), F.max("rec").alias("most"))
+    several = files.where("rec < most").select("version", "path", "c", F.col("rec").alias("least"))
+    masked = rows.join(several, ["version", "path", "c"]).where("rec > least").select("version", "path", "c", "rec").distinct()
+    both = files.select("version", "path", "c", "rec", F.lit(False).alias("dead")).unionByName(masked.withColumn("dead", F.lit(True)))
+    return both.select("version", "path", told(F.col("c")).alias("fingerprint"), "rec", "dead")
+
+
+def content(fingerprint: Column) -> Column:
+    """A fingerprint as a text that is never NULL, so that equal contents are equal in joins and groups."""
+    return F.coalesce(F.concat(F.lit("="), F.lower(fingerprint)), F.lit(""))
+
+
+def told(c: Column) -> Column:
+    """The fingerprint of such a text."""
+    return F.when(c != "", F.substring(c, 2, 2**31 - 1))
 
 
 def deletion_vectors(manifests: DataFrame) -> DataFrame:
@@ -76,34 +88,39 @@ def manifest_delta(manifests: DataFrame, runs: DataFrame, version: str = "run_id
     status is ``ok``; a run listed twice succeeded if one of its rows says so.
     Empty manifests give no rows.
 
-    The one window holds a row per version of a path.
+    Manifests are turned around first: a file has the list of the versions that
+    list it, a path the list of its versions and their bases. Each pair of
+    manifests is then compared where the file is, so a file that stays through
+    many versions is one row until it changes. These lists are as long as there
+    are versions.
     """
     ok = runs.where(F.col(version).isNotNull()).groupBy(F.col(version).cast("long").alias("version")).agg(
         F.max(F.coalesce(F.col(status) == "ok", F.lit(False))).alias("ok")
     )
-    live = manifests.where(~F.col("dead")).select("version", "path", "fingerprint", "rec")
+    live = manifests.where(~F.col("dead")).select("version", "path", content(F.col("fingerprint")).alias("c"), "rec")
     # grows with the number of runs only; the planner broadcasts it after a check of its size
-    known = live.join(ok, "version")
-    earlier = Window.partitionBy("path").orderBy("version").rowsBetween(Window.unboundedPreceding, -1)
-    bases = (
-        known.groupBy("path", "version")
-        .agg(F.max("ok").alias("ok"))
-        .withColumn("base", F.max(F.when(F.col("ok"), F.col("version"))).over(earlier))
-        .select(F.col("path").alias("b_path"), F.col("version").alias("b_version"), "base")
-    )
-    if after is not None:
-        bases = bases.where(F.col("b_version") > after)
-    new = known.join(bases, (F.col("path") == F.col("b_path")) & (F.col("version") == F.col("b_version"))).select(
-        "version", "path", "fingerprint", F.col("rec").alias("new"), F.lit(None).cast("long").alias("old"), F.col("base").isNotNull().alias("had")
+    files = live.join(ok, "version").groupBy("path", "c").agg(F.collect_list(F.struct("version", "ok", "rec")).alias("listed"))
+    versions = F.transform("listed", lambda x: F.struct(x["version"].alias("version"), x["ok"].alias("ok")))
+    # a set per path, merged before it shuffles: as long as there are versions, however many files a path has
+    of_path = files.select(F.col("path").alias("p"), F.explode(versions).alias("v")).groupBy("p").agg(F.collect_set("v").alias("all"))
+    good = F.transform(F.filter("all", lambda x: x["ok"]), lambda x: x["version"])
+    base = lambda v: F.array_max(F.filter("good", lambda g: g < v))
+    bases = of_path.select("p", good.alias("good"), F.transform("all", lambda x: x["version"]).alias("vs")).select(
+        "p", F.transform("vs" if after is None else F.filter("vs", lambda v: v > after), lambda v: F.struct(v.alias("version"), base(v).alias("base"))).alias("pairs")
     )
-    old = live.join(bases, (F.col("path") == F.col("b_path")) & (F.col("version") == F.col("base"))).select(
-        F.col("b_version").alias("version"), "path", "fingerprint", F.lit(None).cast("long").alias("new"), F.col("rec").alias("old"), F.lit(True).alias("had")
+    by_version = F.map_from_entries(F.transform("listed", lambda x: F.struct(x["version"], x["rec"])))
+    at = lambda v: F.when(v.isNotNull(), F.try_element_at(F.col("recs"), v))
+    pairs = F.transform("pairs", lambda x: F.struct(x["version"].alias("version"), x["base"].isNotNull().alias("had"), at(x["version"]).alias("new"), at(x["base"]).alias("old")))
+    both = (
+        files.select("path", "c", by_version.alias("recs"))
+        .join(bases, F.col("path") == F.col("p"))
+        .select("path", "c", F.explode(F.filter(pairs, lambda x: x["new"].isNotNull() | x["old"].isNotNull())).alias("x"))
+        .select("path", "c", "x.*")
     )
-    both = new.unionByName(old).groupBy("version", "path", "fingerprint").agg(F.max("new").alias("new"), F.max("old").alias("old"), F.max("had").alias("had"))
     change = (
         F.when(F.col("new").isNull(), "removed").when(F.col("old").isNotNull(), "unchanged").when(F.col("had"), "changed").otherwise("added")
     )
-    return both.select("version", "path", "fingerprint", F.coalesce("new", "old").alias("rec"), change.alias("change"))
+    return both.select("version", "path", told(F.col("c")).alias("fingerprint"), F.coalesce("new", "old").alias("rec"), change.alias("change"))
 
 
 def plan_runs(source: VersionedTable, sink: VersionedTable, runs: DataFrame, version: str = "run_id", status: str = "status") -> int | None:

@@ -82,7 +82,7 @@ P2_FOUND = _P2 + "select distinct source_id, line_no, reason from x where reason
 
 def listing(spark: SparkSession, sf: str) -> DataFrame:
     """The states listed for each run, with their file and content."""
-    scan = table(spark, sf, "source_scan").select("run_id", "source_id").distinct()
+    scan = table(spark, sf, "source_scan").select("run_id", "source_id")
     state = table(spark, sf, "source").select(F.col("id").alias("source_id"), "name", "hash").distinct()
     return scan.join(state, "source_id")
 
