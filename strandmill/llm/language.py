@@ -18,8 +18,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 LANGS = ("en", "de", "fr", "es", "pt", "nl", "it", "ru", "ja", "zh")
+#: states of the Viterbi pass: the languages, and ``und`` for words in a script that none of them uses
+STATES = (*LANGS, "und")
 LATIN = tuple(i for i, x in enumerate(LANGS) if x not in ("ru", "ja", "zh"))
 RU, JA, ZH = (LANGS.index(x) for x in ("ru", "ja", "zh"))
+UND = len(LANGS)
 
 # Codes and names of the languages (ISO 639-1, 639-2 B and T, English and own names).
 LABELS = {
@@ -35,10 +38,10 @@ LABELS = {
     "zh": ("zh", "zho", "chi", "cn", "cmn", "chinese", "中文", "汉语", "漢語"),
 }
 
-#: bounds of the fit: labelled rows per language, words kept in the model; rows below which a language's own counts have less say
-SAMPLE_ROWS, MODEL_WORDS, FEW_ROWS = 400, 200_000, 20
-#: cost of changing the language between two words, and the most one word can say for a language, in nats
-SWITCH, WORD_MOST = 9.0, 4.0
+#: bounds of the fit: labelled rows per language; rows below which a language's own counts have less say
+SAMPLE_ROWS, FEW_ROWS = 400, 20
+#: cost of changing the language between two words and between two paragraphs, and the most one word can say for a language, in nats
+SWITCH, BORDER, WORD_MOST = 9.0, 6.0, 4.0
 GROUP_UNITS = 300_000  # words, padding included, that are labelled at once; a longer text is labelled by itself
 
 WORD = re.compile(r"[^\W\d_]+")
@@ -46,6 +49,10 @@ PARAGRAPH = re.compile(r"\n[ \t\r\f\v]*\n\s*")
 WIDE = re.compile("[぀-ヿㇰ-ㇿｦ-ﾟ㐀-鿿豈-﫿]+")
 KANA = re.compile("[぀-ヿㇰ-ㇿｦ-ﾟ]")
 CYRILLIC = re.compile("[Ѐ-ԯ]")
+LATIN_LETTER = re.compile("[a-zªºß-öø-ɏᴀ-ỿﬀ-ﬆａ-ｚ]")
+GREEK = re.compile("[Ͱ-Ͽἀ-῿]+")
+# Ranges of the alphabets from Armenian to Georgian, Ethiopic, Khmer, Mongolian and Hangul, with their presentation forms.
+FOREIGN = re.compile("[԰-ჿ\u1100-\u11ffሀ-᎟ក-\u18af\u3130-\u318f가-\ud7af\ufb13-\ufdff\ufe70-\ufefc]")
 # Cyrillic letters that look like Latin ones; words of only these say little.
 LOOKALIKE = frozenset("асеорхукмнтвзіјѕ")
 
@@ -101,14 +108,15 @@ class Model:
             p = (m + 0.002 * every) / np.maximum(total + 0.002 * whole, 1e-9)
             p = sure * p + (1 - sure) * every / whole + 0.05 / (total.max() + 0.002 * whole)
             p = np.log(p / p.max(1, keepdims=True)) if len(p) else p
-            return ids, np.maximum(p * scale, -WORD_MOST).astype(np.float32)
+            und = np.full((len(p), 1), -WORD_MOST)
+            return ids, np.concatenate([np.maximum(p * scale, -WORD_MOST), und], 1).astype(np.float32)
 
         self.ids, self.scores = table(counts, 1.0)
         self.gram_ids, self.gram_scores = table(grams_, 0.5)
 
     def unknown(self, w: str) -> np.ndarray:
         """Scores of a word that the sample does not have, from its script and its trigrams."""
-        s = np.full(len(LANGS), -WORD_MOST, np.float32)
+        s = np.full(len(STATES), -WORD_MOST, np.float32)
         if KANA.search(w):
             s[JA] = 0
         elif WIDE.search(w):
@@ -118,11 +126,16 @@ class Model:
                 s[:] = 0  # may stand for a Latin word
             else:
                 s[RU] = 0
+        elif not LATIN_LETTER.search(w):
+            if FOREIGN.search(w) or (len(w) > 2 and GREEK.fullmatch(w)):
+                s[UND] = 0
+            else:
+                s[:] = 0  # letters of formulas say nothing
         elif len(w) < 3:
             s[list(LATIN)] = 0
         else:
             rows = [self.gram_ids[g] for g in grams(w) if g in self.gram_ids]
-            t = self.gram_scores[rows].sum(0) if rows else np.zeros(len(LANGS), np.float32)
+            t = self.gram_scores[rows].sum(0) if rows else np.zeros(len(STATES), np.float32)
             s[list(LATIN)] = np.maximum((t - t[list(LATIN)].max())[list(LATIN)], -WORD_MOST)
         return s
 
@@ -133,17 +146,19 @@ class Cache:
     def __init__(self, model: Model):
         self.model, self.ids = model, dict(model.ids)
         self.n = len(model.ids)
-        self.table = np.zeros((max(1024, 2 * self.n), len(LANGS)), np.float32)
+        self.table = np.zeros((max(1024, 2 * self.n), len(STATES)), np.float32)
         self.table[: self.n] = model.scores
 
     def zero(self) -> int:
         """The number of a row of zeros, for padding."""
-        return self.ids[""] if "" in self.ids else self._row("", np.zeros(len(LANGS), np.float32))
+        return self.ids[""] if "" in self.ids else self._row("", np.zeros(len(STATES), np.float32))
 
     def add(self, w: str) -> int:
         if WIDE.search(w) and len(w) > 1:
             rows = [self.ids[c] if c in self.ids else self.add(c) for c in w]
-            row = np.maximum(self.table[rows].sum(0), -3 * WORD_MOST)
+            row = self.table[rows].sum(0)
+            # the script is sure, and the more so the longer the run; which of its languages it is, is not
+            row[[JA, ZH]] = np.maximum(row[[JA, ZH]], -3 * WORD_MOST)
         else:
             row = self.model.unknown(w)
         return self._row(w, row)
@@ -178,10 +193,12 @@ def sample(docs: DataFrame, id_col: str, rows: int = SAMPLE_ROWS) -> DataFrame:
     return chosen.withColumn("r", rank).where(F.col("r") <= rows).select("lang", "text")
 
 
-def fit(docs: DataFrame, id_col: str = "doc_id", rows: int = SAMPLE_ROWS, words: int = MODEL_WORDS) -> Model:
+def fit(docs: DataFrame, id_col: str = "doc_id", rows: int = SAMPLE_ROWS) -> Model:
     """Word and trigram counts per language of the sample, counted by the executors.
 
-    The driver gets at most ``words`` words (those in most rows) with their counts.
+    The driver gets the words of the sample, at most ``rows`` texts a language,
+    with their counts. A word of one row only has no score of its own, but its
+    trigrams count like those of all words.
     """
     langs = LANGS
 
@@ -202,8 +219,6 @@ def fit(docs: DataFrame, id_col: str = "doc_id", rows: int = SAMPLE_ROWS, words:
         .mapInArrow(count, "w string, lang string, n long")
         .groupBy("w")
         .agg(F.collect_list(F.struct("lang", "n")).alias("m"), F.sum("n").alias("n"))
-        .orderBy(F.desc("n"), "w")
-        .limit(words)
     )
     counts: dict[str, dict[int, int]] = {}
     totals = [0] * len(langs)
@@ -217,9 +232,8 @@ def fit(docs: DataFrame, id_col: str = "doc_id", rows: int = SAMPLE_ROWS, words:
             for i, n in by.items():
                 totals[i] = n
             continue
-        if r["n"] < 2:
-            continue
-        counts[r["w"]] = by
+        if r["n"] > 1:
+            counts[r["w"]] = by
         if len(r["w"]) > 2 and not WIDE.search(r["w"]):
             top = max(by, key=by.get)
             for g in grams(r["w"]):
@@ -229,11 +243,11 @@ def fit(docs: DataFrame, id_col: str = "doc_id", rows: int = SAMPLE_ROWS, words:
 
 
 # -- labelling ---------------------------------------------------------------
-def viterbi(table: np.ndarray, ids: np.ndarray, switch: float = SWITCH) -> np.ndarray:
+def viterbi(table: np.ndarray, ids: np.ndarray, switch: float | np.ndarray = SWITCH) -> np.ndarray:
     """Best labels of several sequences at once.
 
-    ``ids`` is (sequences, steps) of rows of ``table``, the scores by language.
-    Padding points to a row of zeros: it has no say, and the last real label
+    ``ids`` is (sequences, steps) of rows of ``table``, the scores by language;
+    ``switch`` the cost of a change, one for all or for each step of each sequence. Padding points to a row of zeros: it has no say, and the last real label
     carries through it.
     """
     b, steps = ids.shape
@@ -241,10 +255,11 @@ def viterbi(table: np.ndarray, ids: np.ndarray, switch: float = SWITCH) -> np.nd
     stay = np.ones((steps, b, table.shape[1]), bool)
     best = np.zeros((steps, b), np.int8)
     rows = np.arange(b)
+    cost = np.broadcast_to(np.asarray(switch, np.float32), (b, steps))
     for t in range(1, steps):
         top = score.argmax(1)
         best[t - 1] = top
-        jump = score[rows, top][:, None] - switch
+        jump = (score[rows, top] - cost[:, t])[:, None]
         keep = score >= jump
         stay[t] = keep
         score = np.where(keep, score, jump) + table[ids[:, t]]
@@ -280,7 +295,7 @@ def label_texts(cache: Cache, texts: list[str]) -> list[tuple]:
     table = cache.table
     out: list[tuple | None] = [None] * len(texts)
     order = sorted(range(len(texts)), key=lambda i: len(seqs[i]))
-    k = len(LANGS)
+    k = len(STATES)
     at = 0
     while at < len(order):
         n = len(seqs[order[at]])
@@ -295,9 +310,11 @@ def label_texts(cache: Cache, texts: list[str]) -> list[tuple]:
             at += 1
         steps = max(1, len(seqs[group[-1]]))
         ids = np.full((len(group), steps), zero, np.int32)
+        cost = np.full((len(group), steps), SWITCH, np.float32)
         for g, i in enumerate(group):
             ids[g, : len(seqs[i])] = seqs[i]
-        labels = viterbi(table, ids)
+            cost[g, [e for e in ends[i] if e < len(seqs[i])]] = BORDER
+        labels = viterbi(table, ids, cost)
         for g, i in enumerate(group):
             size = len(seqs[i])
             end = np.array(ends[i])
@@ -336,9 +353,9 @@ def decide(chars: np.ndarray, lead: np.ndarray) -> tuple:
     for c, s in zip(chars, lead):
         some = c.sum() > 0
         lang = int(c.argmax()) if some else main
-        langs.append(LANGS[lang])
+        langs.append(STATES[lang])
         conf.append(sure(c, s, lang) if some else 0.0)
-    return LANGS[main], sure(whole, lead.sum(0), main), langs, conf
+    return STATES[main], sure(whole, lead.sum(0), main), langs, conf
 
 
 def identify(
@@ -349,10 +366,11 @@ def identify(
     ``label`` is the language that ``label_col`` names, if it names one.
 
     Defined cases: NULL, empty and letterless texts have a NULL language with
-    confidence 0; paragraphs are split at blank lines and counted from 1;
+    confidence 0; texts in a script that none of the languages uses have the
+    language ``und``; paragraphs are split at blank lines and counted from 1;
     repeated rows give repeated results; an empty table an empty result; other
     columns are dropped. Only the id, the text and the label are read. The
-    model is sent to the executors; ``MODEL_WORDS`` bounds its size.
+    model is sent to the executors; the rows of its sample bound its size.
     """
     handle = docs.sparkSession.sparkContext.broadcast((model.ids, model.scores, model.gram_ids, model.gram_scores))
 

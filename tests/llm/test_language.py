@@ -141,3 +141,32 @@ def test_a_language_without_rows_takes_no_others(few):
     assert [r[0] for r in got] == list(texts)
     pt = L.LANGS.index("pt")
     assert all(s[pt] < s.max() for s in model.scores)
+
+
+def test_scripts_of_no_language(spark, model):
+    rnd = random.Random(8)
+    foreign = ["작은 전동기가 벨트를 당기면 바퀴가 회전한다", "όταν ο μικρός κινητήρας τραβά τον ιμάντα", "عندما يسحب المحرك الصغير الحزام تدور العجلة", "เมื่อมอเตอร์ขนาดเล็กดึงสายพาน", "כאשר המנוע הקטן מושך"]
+    formula = say("en", 30, rnd) + " α = β + μ and Δ γ " + say("en", 30, rnd)
+    got = ask(spark, model, [*foreign, formula, say("en", 40, rnd) + "\n\n" + foreign[0] * 3])
+    assert [got[i]["lang"] for i in range(len(foreign))] == ["und"] * len(foreign) and got[5]["langs"] == ["en"]
+    assert got[6]["langs"] == ["en", "und"] and got[6]["confidences"][1] > 0.9
+
+
+def test_short_foreign_paragraphs(spark, model):
+    rnd = random.Random(9)
+    for lang, short in (("de", SENTENCES["de"].split()[:6]), ("zh", [SENTENCES["zh"][:8]]), ("ja", [SENTENCES["ja"][:9]])):
+        text = "\n\n".join([say("en", 40, rnd), " ".join(short), say("en", 40, rnd)])
+        assert ask(spark, model, [text])[0]["langs"] == ["en", lang, "en"]
+    inside = say("en", 40, rnd) + " " + SENTENCES["zh"][:8] + " " + say("en", 40, rnd)
+    assert ask(spark, model, [inside])[0]["langs"] == ["en"]
+
+
+def test_words_of_one_row_still_tell_by_their_trigrams(spark, tmp_path):
+    # every word of the two languages is in one row only
+    rnd = random.Random(10)
+    word = lambda ends: "".join(rnd.choice("bdfgklmnprst") + rnd.choice("aeiou") for _ in range(3)) + rnd.choice(ends)
+    ends = {"de": ["schung", "keit"], "fr": ["eaux", "tion"]}
+    rows = [(i, lang, " ".join(word(ends[lang]) for _ in range(12))) for i, lang in enumerate(["de", "fr"] * 30)]
+    m = L.fit(spark.createDataFrame(rows, "doc_id long, lang string, text string"))
+    got = ask(spark, m, [" ".join(word(ends[lang]) for _ in range(12)) for lang in ("de", "fr", "de")])
+    assert [got[i]["lang"] for i in range(3)] == ["de", "fr", "de"]
