@@ -8,9 +8,10 @@ the next epoch's seeded order.
 
 The tree is small (targets times languages) and is solved on the driver; the
 documents never leave the executors. A leaf's prefix is found without sorting
-the leaf: its documents fall into ``BLOCKS`` equal stretches of the hash range
-that orders them, token sums per stretch tell the one that holds the cut, and
-only that stretch is ordered.
+the leaf: its documents fall into equal stretches of the hash range that orders
+them, about as many as the root of their number, token sums per stretch tell the
+one that holds the cut, and only that stretch is ordered. So a leaf of a billion
+documents has windows of some 32,000 rows.
 """
 
 from __future__ import annotations
@@ -24,6 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: stretches of a leaf whose number of documents is not told
 BLOCKS = 4096
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 # Fixed value: the pattern by which the byte-level vocabulary splits texts.
@@ -32,8 +34,14 @@ SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 PIECE = 100_000
 
 
-def _encoder(path: str, pattern: str):
-    """The tokenizer, loaded once per Python worker."""
+def vocabulary(path: str) -> bytes:
+    """The vocabulary file, as the driver has it; it is sent to the executors, which need no such file."""
+    with open(path, "rb") as f:
+        return f.read()
+
+
+def _encoder(path: str, pattern: str, ranks_file: bytes | None = None):
+    """The tokenizer, made once per Python worker."""
     import sys
     import types
 
@@ -41,8 +49,8 @@ def _encoder(path: str, pattern: str):
     if path not in kept.__dict__:
         import tiktoken
 
-        with open(path, "rb") as f:
-            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+        lines = (vocabulary(path) if ranks_file is None else ranks_file).splitlines()
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
         kept.__dict__[path] = tiktoken.Encoding("mill", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
     return kept.__dict__[path]
 
@@ -66,8 +74,10 @@ def count_tokens(df: DataFrame, text: str = "text", path: str = TOKENIZER, patte
     names = [c if c != text else "n_tokens" for c in df.columns]
     kinds = ", ".join(f"`{n}` {'long' if i == at else f.dataType.simpleString()}" for i, (n, f) in enumerate(zip(names, df.schema.fields)))
 
+    handle = df.sparkSession.sparkContext.broadcast(vocabulary(path))  # a fixed file of about a megabyte
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = _encoder(path, pattern).encode_ordinary
+        encode = _encoder(path, pattern, handle.value).encode_ordinary
         for b in batches:
             sizes = []
             for t in b.column(at).to_pylist():
@@ -130,13 +140,17 @@ def allot(node: Node, amount: float) -> None:
 
 
 def budgets(
-    targets: list[dict], sizes: dict[tuple[str, str], int], domain_of, total: int
+    targets: list[dict], sizes: dict[tuple[str, str], int], domain_of, total: int, documents: dict[tuple[str, str], int] | None = None
 ) -> list[dict]:
     """Token budgets of the leaves of every plan.
 
     ``targets``: ``plan_id source target_share max_repeats size_ratio``;
-    ``sizes``: tokens by (source, language). A source's weight is split over
-    its languages in proportion to their tokens.
+    ``sizes``: tokens by (source, language); ``domain_of``: source -> domain.
+    A source's weight is split over its languages in proportion to their
+    tokens. A source without documents keeps its weight in its domain, as a
+    leaf that can fill nothing, so its siblings take over its share; it has no
+    row in the result. With ``documents``, their numbers, the leaves tell into
+    how many stretches they are cut (``bits``).
     """
     plans = defaultdict(list)
     for t in targets:
@@ -148,40 +162,46 @@ def budgets(
         for t in rows:
             langs = {lang: n for (s, lang), n in sizes.items() if s == t["source"] and n > 0}
             have = sum(langs.values())
+            domain = root.kids.setdefault(domain_of(t["source"]), Node())
+            if not langs:
+                domain.kids.setdefault("", Node()).kids[t["source"]] = Node(t["target_share"], 0.0)
             for lang, n in sorted(langs.items()):
                 leaf = Node(t["target_share"] * n / have, float(n) * t["max_repeats"])
-                at = root.kids.setdefault(domain_of(t["source"]), Node()).kids.setdefault(lang, Node())
-                at.kids[t["source"]] = leaf
+                domain.kids.setdefault(lang, Node()).kids[t["source"]] = leaf
                 leaves.append((t, lang, n, leaf))
         root.total()
         allot(root, max(t["size_ratio"] for t in rows) * total)
         for t, lang, n, leaf in leaves:
             epochs = min(int(leaf.budget // n), t["max_repeats"])
+            docs = (documents or {}).get((t["source"], lang), BLOCKS**2)
             out.append(
                 {
-                    "plan_id": plan, "source": t["source"], "lang": lang, "budget": leaf.budget,
-                    "epochs": epochs, "rest": max(0.0, leaf.budget - epochs * n) if epochs < t["max_repeats"] else 0.0,
+                    "plan_id": plan, "source": t["source"], "lang": lang, "budget": leaf.budget, "epochs": epochs,
+                    "rest": max(0.0, leaf.budget - epochs * n) if epochs < t["max_repeats"] else 0.0, "bits": max(1, docs.bit_length() // 2),
                 }
             )
     return out
 
 
 # -- selection ---------------------------------------------------------------
-def pick(sized: DataFrame, leaves: DataFrame, seed: int = 0, blocks: int = BLOCKS) -> DataFrame:
+def pick(sized: DataFrame, leaves: DataFrame, seed: int = 0, blocks: int | None = None) -> DataFrame:
     """Chosen documents with ``repeats``: whole epochs, and one more within the token-prefix.
 
     ``sized``: ``doc_id source lang n_tokens``; ``leaves``: the rows of
-    :func:`budgets`, a small table that is broadcast. A document is within the
+    :func:`budgets`, which the planner broadcasts, as their number is that of
+    the targets times languages and their size is known. A document is within the
     prefix while the larger part of it fits the rest of the budget, so a leaf
-    misses its budget by less than half a document.
+    misses its budget by less than half a document. A leaf is cut into ``2**bits``
+    stretches, or ``blocks`` (a power of two).
     """
-    tree = F.broadcast(leaves)
+    if blocks is not None or "bits" not in leaves.columns:
+        leaves = leaves.withColumn("bits", F.lit((blocks or BLOCKS).bit_length() - 1))
     order = F.xxhash64("doc_id", "plan_id", "epochs", F.lit(seed))
     docs = (
         sized.where("n_tokens > 0")
-        .join(tree, ["source", "lang"])
+        .join(leaves, ["source", "lang"])
         .withColumn("__h", order)
-        .withColumn("__b", F.pmod(F.shiftright("__h", 64 - (blocks.bit_length() - 1)), F.lit(blocks)))
+        .withColumn("__b", F.expr("pmod(shiftright(__h, 64 - bits), shiftleft(1L, bits))"))
     )
     leaf = ["plan_id", "source", "lang"]
     sums = docs.where("rest > 0").groupBy(*leaf, "__b").agg(F.sum("n_tokens").alias("__n"), F.first("rest").alias("__rest"))
@@ -193,7 +213,8 @@ def pick(sized: DataFrame, leaves: DataFrame, seed: int = 0, blocks: int = BLOCK
         .groupBy(*leaf)
         .agg(F.max_by("__b", "__b").alias("__cut"), F.max_by(F.col("__to") - F.col("__n"), "__b").alias("__before"))
     )
-    placed = docs.join(F.broadcast(cut), leaf, "left")
+    cuts = sized.sparkSession.createDataFrame([tuple(r) for r in cut.collect()], cut.schema)
+    placed = docs.join(cuts, leaf, "left")
     whole = (F.col("__b") < F.col("__cut")) & (F.col("rest") > 0)
     at_cut = (F.col("__b") == F.col("__cut")) & (F.col("rest") > 0)
     # only the stretch with the cut is ordered; all other rows stay where they are
@@ -211,6 +232,6 @@ def spelling(c: Column) -> Column:
     return F.lower(F.regexp_replace(c, r"\s+", ""))
 
 
-def domain_of(source: str) -> str:
-    """The domain of a source: its name up to the first underscore."""
-    return source.split("_", 1)[0]
+def domain_of(source: str, domains: dict[str, str] | None = None) -> str:
+    """The domain of a source: as a table of domains states it, else its name up to the first underscore."""
+    return (domains or {}).get(source) or source.split("_", 1)[0]

@@ -48,13 +48,15 @@ def mixture(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     sized = sized_documents(spark, sf)
     targets = table(spark, sf, "mix_targets").where("target_share > 0 and source is not null").withColumn("source", mixing.spelling(F.col("source")))
     rows = [r.asDict() for r in targets.distinct().collect()]  # the stated plans
+    # the sums of the stated sources only; the planner broadcasts their names after a check of the size
     names = spark.createDataFrame([(x,) for x in sorted({r["source"] for r in rows})], "source string")
-    sums = sized.groupBy("source", "lang").agg(F.sum("n_tokens").alias("n"))
-    sizes = {(r["source"], r["lang"]): r["n"] for r in sums.join(F.broadcast(names), "source", "left_semi").collect()}
+    sums = sized.groupBy("source", "lang").agg(F.sum("n_tokens").alias("n"), F.count("*").alias("docs"))
+    found = sums.join(names, "source", "left_semi").collect()
+    sizes, docs = ({(r["source"], r["lang"]): r[x] for r in found} for x in ("n", "docs"))
     total = sized.agg(F.coalesce(F.sum("n_tokens"), F.lit(0)).alias("n")).first()["n"]
-    leaves = mixing.budgets(rows, sizes, mixing.domain_of, total)
-    schema = "plan_id int, source string, lang string, budget double, epochs int, rest double"
-    plan = spark.createDataFrame([tuple(x[k] for k in ("plan_id", "source", "lang", "budget", "epochs", "rest")) for x in leaves], schema)
+    leaves = mixing.budgets(rows, sizes, mixing.domain_of, total, docs)
+    schema = "plan_id int, source string, lang string, budget double, epochs int, rest double, bits int"
+    plan = spark.createDataFrame([tuple(x[k.split()[0]] for k in schema.split(", ")) for x in leaves], schema)
     return mixing.pick(sized, plan), targets
 
 
@@ -100,7 +102,7 @@ def p8_found(spark: SparkSession, sf: str) -> DataFrame:
         F.array(F.when(wrong, row(F.lit(0), F.col("lang")))),
         F.transform("langs", lambda x, i: F.when(mixed, row((i + 1).cast("int"), x))),
     )
-    rows = found.select("doc_id", F.explode(cases).alias("c")).where(F.col("c.lang").isNotNull())
+    rows = found.select("doc_id", F.explode(cases).alias("c")).where(F.col("c.lang").isin(*language.LANGS))
     return rows.select("doc_id", "c.seg_no", "c.lang").distinct()
 
 

@@ -1,6 +1,8 @@
 import random
+from collections import Counter
 
 import numpy as np
+import pytest
 
 from strandmill.llm import leaks as K
 
@@ -189,3 +191,49 @@ def test_every_run_of_a_group():
     both = [1] * 9 + ids[:20] + [1] * 12 + ids + [1] * 9
     got = list(K.search_shard(block, [np.array(half, np.int64), np.array(both, np.int64)]))
     assert {(d, run, a, b) for _, d, run, _, a, b in got} == {(0, 26, 9, 35), (0, 26, 36, 62), (1, 20, 9, 29), (1, 96, 41, 137)}
+
+
+def test_windows_with_enough_words_against_all_windows():
+    """Every window of an item's width that holds enough of its words lies in a stretch, and every stretch holds one."""
+    rnd = random.Random(11)
+    vocab = [f"w{chr(97 + i // 26)}{chr(97 + i % 26)}" for i in range(60)]
+    for _ in range(12):
+        items = K.Items([(i, rnd.choices(vocab[: rnd.choice([8, 30, 60])], k=rnd.choice([8, 12, 13, 40, 90]))) for i in range(5)])
+        other = [w for w in vocab if w not in items.vocab]
+        texts = []
+        for _ in range(6):
+            ws = rnd.choices(vocab + other * 3, k=rnd.randrange(0, 300))
+            if rnd.random() < 0.6:
+                k = rnd.randrange(5)
+                part = [w for w, n in items.vocab.items() if n in items.seqs[k]] if rnd.random() < 0.3 else [w for n in items.seqs[k] for w, x in items.vocab.items() if x == n]
+                rnd.shuffle(part)
+                at = rnd.randrange(len(ws) + 1)
+                ws[at:at] = part
+            texts.append(np.array([items.vocab.get(w, 1) for w in ws], np.int64))
+        got = list(K.crowded(items, texts))
+        for i, seq in enumerate(items.seqs):
+            need, width = max(int(np.ceil(K.SHARE * len(seq))), K.COVER), int(np.ceil(K.STRETCH * len(seq)))
+            bag = Counter(seq)
+            for d, t in enumerate(texts):
+                mine = [(a, b) for j, e, a, b in got if (j, e) == (i, d)]
+                hits = set()
+                for end in range(1, len(t) + 1):
+                    a = max(0, end - width)
+                    if sum((Counter(t[a:end].tolist()) & bag).values()) >= need:
+                        hits.add(end)
+                        assert any(x <= a and end <= y for x, y in mine)
+                assert all(any(x < h <= y for h in hits) for x, y in mine)
+
+
+@pytest.mark.parametrize("copies", [1, 12, 13, 50, 1000])
+def test_copies_in_one_shard_or_many(spark, rows, copies):
+    """A partly changed passage is found in all its copies, whatever their number and however they are spread."""
+    rnd = random.Random(copies)
+    word = lambda: "".join(rnd.choice("abcdefghijklmnop") for _ in range(7))
+    item = [word() for _ in range(60)]
+    text = " ".join([*(word() for _ in range(30)), *(word() if k % 10 == 9 else w for k, w in enumerate(item)), *(word() for _ in range(30))])
+    docs = spark.createDataFrame([(i, text) for i in range(copies)] + [(10**6, " ".join(word() for _ in range(90)))], "doc_id long, text string")
+    items = spark.createDataFrame([(1, " ".join(item))], "item_id long, text string")
+    for parts in (1, 4, 64) if copies == 50 else (1,):
+        got = K.find(docs.repartition(parts), items).select("item_id", "doc_id").distinct()
+        assert rows(got) == sorted([(1, i) for i in range(copies)], key=repr)

@@ -100,3 +100,23 @@ def test_long_texts_are_counted_whole(spark):
         parts = list(M.pieces(text, size))
         assert "".join(parts) == text and sum(len(enc.encode_ordinary(p)) for p in parts) == len(enc.encode_ordinary(text))
     assert list(M.pieces("", 5)) == []
+
+
+def test_an_empty_source_leaves_its_share_to_its_siblings():
+    plan = [target("a_x", 0.5), target("a_y", 0.25), target("b_z", 0.25)]
+    sizes = {("a_y", "en"): 5000, ("b_z", "en"): 5000}
+    assert sums(M.budgets(plan, sizes, M.domain_of, 2000)) == {"a_y": 1500, "b_z": 500}
+    near = sums(M.budgets(plan, sizes | {("a_x", "en"): 1}, M.domain_of, 2000))
+    assert near == {"a_x": 1, "a_y": 1499, "b_z": 500}
+    # domains by a stated table
+    table = {"a_x": "q", "b_z": "q"}
+    assert sums(M.budgets(plan, sizes, lambda s: M.domain_of(s, table), 2000)) == {"a_y": 500, "b_z": 1500}
+
+
+def test_stretches_follow_the_size_of_the_leaf(spark):
+    bits = lambda n: M.budgets([target("a", 0.5)], {("a", "en"): 10**9}, M.domain_of, 100, {("a", "en"): n})[0]["bits"]
+    assert [bits(n) for n in (1, 100, 10**6, 10**9)] == [1, 3, 10, 15]
+    sizes = [5] * 3000
+    for b in (1, 5, 9):
+        got = M.pick(frame(spark, sizes), leaf(spark, 0, 7501.0).withColumn("bits", F.lit(b))).agg(F.sum("n_tokens")).first()[0]
+        assert abs(got - 7501) <= 2.5
