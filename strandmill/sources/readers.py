@@ -10,7 +10,7 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandmill.catalog import ROW, Dataset, Field, LoadError, with_rows
@@ -171,9 +171,8 @@ def matrix_codes(ds: Dataset) -> DataFrame:
         firsts = (
             some.select("field", F.posexplode("codes").alias("p", "value")).where("value is not null").groupBy("field", "value").agg(F.min("p").alias("p"))
         )
-        # a field's window holds its distinct values
-        n = F.row_number().over(Window.partitionBy("field").orderBy("p")) - 1
-        out = out.unionByName(firsts.select("field", n.cast("int").alias("ordering"), "value"))
+        ranked = rank_in_group(firsts, ["field"], ["p", "value"], "__n")
+        out = out.unionByName(ranked.select("field", (F.col("__n") - 1).cast("int").alias("ordering"), "value"))
     return out
 
 

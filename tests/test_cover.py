@@ -27,8 +27,8 @@ def brute(data):
     return out
 
 
-def run(spark, data, **kw):
-    df = cover(spark.createDataFrame(data, SCHEMA), ["field_id", "chrom"], "s", "e", **kw)
+def run(spark, data, schema=SCHEMA, **kw):
+    df = cover(spark.createDataFrame(data, schema), ["field_id", "chrom"], "s", "e", **kw)
     got = [tuple(r) for r in df.select("field_id", "chrom", "kind", "range_start", "range_end").collect()]
     assert len(got) == len(set(got))
     return set(got)
@@ -70,3 +70,22 @@ def test_hot_entity_across_many_blocks(spark):
 @given(st.lists(st.tuples(st.integers(1, 2), st.sampled_from(["a", None]), st.integers(0, 60), st.integers(0, 60)), max_size=25), st.integers(1, 5))
 def test_against_brute_force(spark, data, bits):
     assert run(spark, data, block_bits=bits) == brute(data)
+
+
+def test_wide_coordinates_over_blocks_and_stretches(spark, monkeypatch):
+    from strandmill.operators import cover as module
+
+    wide = SCHEMA.replace("s int, e int", "s long, e long")
+    year = 31_536_000_000_000  # microseconds
+    rnd = random.Random(5)
+    data = [(rnd.randrange(2), "t", s := rnd.randrange(-year, year), s + rnd.choice([0, 10**6, 10**11])) for _ in range(400)]
+    assert run(spark, data, wide) == brute(data)
+    monkeypatch.setattr(module, "STRETCH_BITS", 2)
+    near = [(1, "t", s := rnd.randrange(-3000, 3000), s + rnd.choice([0, 1, 5, 700])) for _ in range(120)] + [(1, "t", -9000, -8999), (1, "t", 9000, 9000), (2, "t", 0, 9)]
+    for bits in (1, 3, 6):
+        assert run(spark, near, wide, block_bits=bits) == brute(near)
+
+
+def test_coordinates_as_texts(spark):
+    text = [(1, "a", "9", "10"), (1, "a", "2", "3"), (1, "a", "100", "20"), (1, "a", "x", "3"), (1, "a", None, "3")]
+    assert run(spark, text, SCHEMA.replace("s int, e int", "s string, e string")) == brute([(1, "a", 9, 10), (1, "a", 2, 3)])
