@@ -276,6 +276,9 @@ def crowded(items: Items, texts: list[np.ndarray]) -> Iterator[tuple[int, int, i
     That is necessary for a share case, so none is left out. An occurrence of
     a word that the item has m times counts in the windows that end before
     the m-th next one; a sum over starts and ends of these gives all windows.
+    Windows that reach into the text before are counted again without it. Ends
+    of one word's occurrences are all different, so they can be taken off in place, in as few
+    bytes as the number of an item's words needs, which the caches of a core hold.
     """
     if not texts:
         return
@@ -283,29 +286,53 @@ def crowded(items: Items, texts: list[np.ndarray]) -> Iterator[tuple[int, int, i
     starts = np.concatenate([[0], np.cumsum(size)])
     s = np.concatenate([x for t in texts for x in (t, [END])])
     at = np.flatnonzero(s > 1)
-    at = at[np.argsort(s[at], kind="stable")].astype(np.int32)
-    stop = np.repeat(starts[1:] - 1, size).astype(np.int32)[at]
+    at = at[np.argsort(s[at], kind="stable")]
     begin = np.concatenate([[0, 0, 0], np.cumsum(np.bincount(s, minlength=len(items.vocab) + 2)[2:])])
+    most = int(items.size.max()) if len(items.size) else 0
+    room = len(s) + int(np.ceil(STRETCH * most)) + 1
+    steps = np.empty(room, np.int8 if most < 127 else np.int16 if most < 32767 else np.int32)
+    counts = np.empty(room, np.int16 if most < 32767 else np.int32)
     for i, seq in enumerate(items.seqs):
         need = max(int(np.ceil(SHARE * len(seq))), COVER)
         width = int(np.ceil(STRETCH * len(seq)))
-        steps = np.zeros(len(s) + 1, np.int32)
+        steps[:] = 0
         ends = []
-        for w, m in Counter(seq).items():
-            p, last = at[begin[w] : begin[w + 1]], stop[begin[w] : begin[w + 1]]
+        bag = Counter(seq)
+        for w, m in bag.items():
+            p = at[begin[w] : begin[w + 1]]
             steps[p] = 1
-            end = np.minimum(p + width, last)
+            end = p + width
             np.minimum(end[:-m], p[m:], out=end[:-m])
             ends.append(end)
-        steps -= np.bincount(np.concatenate(ends), minlength=len(steps)).astype(np.int32)
-        full = np.flatnonzero(np.cumsum(steps, dtype=np.int32) >= need)
+        for end in ends:
+            steps[end] -= 1
+        full = np.flatnonzero(np.cumsum(steps, dtype=counts.dtype, out=counts)[: len(s)] >= need)
         if not len(full):
             continue
         doc = np.searchsorted(starts, full, side="right") - 1
         new = np.flatnonzero((np.diff(full, prepend=-width - 1) > width) | (np.diff(doc, prepend=-1) > 0))
         for first, last in zip(new, np.append(new[1:], len(full)) - 1):
             d = int(doc[first])
-            yield i, d, max(0, int(full[first] - starts[d]) - width + 1), int(full[last] - starts[d]) + 1
+            a, b = max(0, int(full[first] - starts[d]) - width + 1), min(int(full[last] - starts[d]) + 1, int(size[d]) - 1)
+            # one that begins with the text may have counted words of the text before
+            if full[first] - starts[d] >= width or _holds(bag, need, width, texts[d][:b].tolist()):
+                yield i, d, a, b
+
+
+def _holds(bag: Counter, need: int, width: int, seq: list[int]) -> bool:
+    """Whether a window of ``seq`` has at least ``need`` words of a bag, each at most as often as the bag."""
+    held: dict[int, int] = defaultdict(int)
+    have = 0
+    for k, w in enumerate(seq):
+        if w in bag:
+            held[w] += 1
+            have += held[w] <= bag[w]
+        if k >= width and (w := seq[k - width]) in bag:
+            held[w] -= 1
+            have -= held[w] < bag[w]
+        if have >= need:
+            return True
+    return False
 
 
 def search_shard(items: Items, texts: list[np.ndarray]) -> Iterator[tuple[int, int, int, float, int, int]]:
