@@ -29,6 +29,10 @@ RUN, SHARE, STRETCH = 18, 0.6, 1.2
 SHARD_WORDS, BLOCK_WORDS = 1 << 20, 200_000
 #: least words of an item that a passage must hold: fewer are a short quotation, even of a very short item
 COVER = 7
+#: words of a block, in bits, by which windows with enough words are looked for
+BLOCK_BITS = 3
+#: masks of words that are in memory at once, which bounds nothing but that
+TABLE = 1 << 22
 
 TAG = re.compile(r"</?[A-Za-z!][^<>]*>")
 HYPHEN = re.compile(r"[-­‐‑][^\S\n]*\n\s*(?=\w)")
@@ -162,6 +166,41 @@ def common(mask: dict[int, int], size: int, seq: list[int]) -> int:
     return size - v.bit_count()
 
 
+def common_of_many(items: Items, which: np.ndarray, seqs: list[np.ndarray]) -> np.ndarray:
+    """:func:`common` of many sequences at once: all take a step together, the shorter ones end earlier."""
+    out = np.zeros(len(seqs), np.int64)
+    cells = -(-int(items.size.max()) // 64) if len(items.size) else 1
+    base = len(items.vocab) + 2
+    group = max(1, TABLE // (base * cells))  # items whose masks are in memory at once
+    block = which // group
+    for g in np.unique(block):
+        own = np.flatnonzero(block == g)
+        own = own[np.argsort([-len(seqs[x]) for x in own], kind="stable")]
+        low, high = int(g) * group, min(len(items.size), (int(g) + 1) * group)
+        masks = np.zeros((high - low, base, cells), np.uint64)
+        a, b = items.offset[low], items.offset[high]
+        at = np.arange(a, b) - items.start[a:b]
+        np.bitwise_or.at(masks, (items.owner[a:b] - low, items.phrase[a:b], at >> 6), np.uint64(1) << (at & 63).astype(np.uint64))
+        length = np.array([len(seqs[x]) for x in own])
+        words = np.ones((len(own), int(length.max()) if len(own) else 0), np.int64)
+        for k, x in enumerate(own):
+            words[k, : len(seqs[x])] = seqs[x]
+        item = which[own] - low
+        v = np.full((len(own), cells), ~np.uint64(0))
+        active = len(own) - np.searchsorted(length[::-1], np.arange(words.shape[1]), side="right")
+        for t, n in enumerate(active.tolist()):
+            m = masks[item[:n], words[:n, t]]
+            u = v[:n] & m
+            total = v[:n] + u
+            carry = total[:, 0] < u[:, 0]
+            for c in range(1, cells):
+                total[:, c] += carry
+                carry = (total[:, c] < u[:, c]) | (carry & (total[:, c] == u[:, c]))
+            v[:n] = total | (v[:n] & ~m)
+        out[own] = 64 * cells - np.bitwise_count(v).sum(1)
+    return out
+
+
 def longest_run(mask: dict[int, int], seq: list[int]) -> tuple[int, int]:
     """Most consecutive words of an item that ``seq`` has consecutively, and where they end in ``seq``."""
     layers: list[int] = []  # layers[k]: places of the item where a common run of at least k + 1 words ends
@@ -273,12 +312,12 @@ def merge_spans(item: np.ndarray, doc: np.ndarray, ipos: np.ndarray, dpos: np.nd
 def crowded(items: Items, texts: list[np.ndarray]) -> Iterator[tuple[int, int, int, int]]:
     """Item, text and stretch of all windows that hold as many words of the item, in any order, as its share needs.
 
-    That is necessary for a share case, so none is left out. An occurrence of
-    a word that the item has m times counts in the windows that end before
-    the m-th next one; a sum over starts and ends of these gives all windows.
-    Windows that reach into the text before are counted again without it. Ends
-    of one word's occurrences are all different, so they can be taken off in place, in as few
-    bytes as the number of an item's words needs, which the caches of a core hold.
+    That is necessary for a share case, so none is left out. Windows are whole
+    blocks of ``2**BLOCK_BITS`` words, as many as any window of the item's width
+    can touch. An occurrence of a word that the item has m times counts in the
+    windows that end before the block of the m-th next one; a sum over starts
+    and ends of these gives all windows. Those that follow each other closely
+    are one stretch, which is cut at the ends of texts.
     """
     if not texts:
         return
@@ -286,43 +325,36 @@ def crowded(items: Items, texts: list[np.ndarray]) -> Iterator[tuple[int, int, i
     starts = np.concatenate([[0], np.cumsum(size)])
     s = np.concatenate([x for t in texts for x in (t, [END])])
     at = np.flatnonzero(s > 1)
-    at = at[np.argsort(s[at], kind="stable")]
+    at = at[np.argsort(s[at], kind="stable")] >> BLOCK_BITS
     begin = np.concatenate([[0, 0, 0], np.cumsum(np.bincount(s, minlength=len(items.vocab) + 2)[2:])])
-    most = int(items.size.max()) if len(items.size) else 0
-    room = len(s) + int(np.ceil(STRETCH * most)) + 1
-    steps = np.empty(room, np.int8 if most < 127 else np.int16 if most < 32767 else np.int32)
-    counts = np.empty(room, np.int16 if most < 32767 else np.int32)
+    blocks = (len(s) - 1 >> BLOCK_BITS) + 1
     for i, seq in enumerate(items.seqs):
         need = max(int(np.ceil(SHARE * len(seq))), COVER)
-        width = int(np.ceil(STRETCH * len(seq)))
-        steps[:] = 0
-        ends = []
-        bag = Counter(seq)
-        for w, m in bag.items():
+        reach = (int(np.ceil(STRETCH * len(seq))) + (1 << BLOCK_BITS) - 2 >> BLOCK_BITS) + 1
+        begun, ended = [], []
+        for w, m in Counter(seq).items():
             p = at[begin[w] : begin[w + 1]]
-            steps[p] = 1
-            end = p + width
+            end = p + reach
             np.minimum(end[:-m], p[m:], out=end[:-m])
-            ends.append(end)
-        for end in ends:
-            steps[end] -= 1
-        full = np.flatnonzero(np.cumsum(steps, dtype=counts.dtype, out=counts)[: len(s)] >= need)
+            begun.append(p)
+            ended.append(end)
+        steps = np.bincount(np.concatenate(begun), minlength=blocks) - np.bincount(np.concatenate(ended), minlength=blocks)[:blocks]
+        full = np.flatnonzero(np.cumsum(steps) >= need)
         if not len(full):
             continue
-        doc = np.searchsorted(starts, full, side="right") - 1
-        new = np.flatnonzero((np.diff(full, prepend=-width - 1) > width) | (np.diff(doc, prepend=-1) > 0))
-        for first, last in zip(new, np.append(new[1:], len(full)) - 1):
-            d = int(doc[first])
-            a, b = max(0, int(full[first] - starts[d]) - width + 1), min(int(full[last] - starts[d]) + 1, int(size[d]) - 1)
-            # one that begins with the text may have counted words of the text before
-            if full[first] - starts[d] >= width or _holds(bag, need, width, texts[d][:b].tolist()):
-                yield i, d, a, b
-
-
-def _holds(bag: Counter, need: int, width: int, seq: list[int]) -> bool:
-    """Whether a window of ``seq`` has at least ``need`` words of a bag, each at most as often as the bag."""
+        new = np.flatnonzero(np.diff(full, prepend=-reach) > reach // 2)
+        for first, last in zip(full[new].tolist(), full[np.append(new[1:], len(full)) - 1].tolist()):
+            x, y = max(0, first - reach + 1) << BLOCK_BITS, min(last + 1 << BLOCK_BITS, len(s))
+            for d in range(int(np.searchsorted(starts, x, side="right")) - 1, int(np.searchsorted(starts, y, side="left"))):
+                a, b = max(x - int(starts[d]), 0), min(y - int(starts[d]), int(size[d]) - 1)
+                if b - a >= need:
+                    yield i, d, a, b
+
+
+def windows(bag: Counter, need: int, width: int, seq: list[int]) -> Iterator[tuple[int, int]]:
+    """The stretches of one text that windows with at least ``need`` words of a bag make up, each word at most as often as the bag has it."""
     held: dict[int, int] = defaultdict(int)
-    have = 0
+    have, first, last = 0, None, 0
     for k, w in enumerate(seq):
         if w in bag:
             held[w] += 1
@@ -331,8 +363,13 @@ def _holds(bag: Counter, need: int, width: int, seq: list[int]) -> bool:
             held[w] -= 1
             have -= held[w] < bag[w]
         if have >= need:
-            return True
-    return False
+            if first is not None and k - last > width:
+                yield max(0, first - width + 1), last + 1
+                first = None
+            first = k if first is None else first
+            last = k
+    if first is not None:
+        yield max(0, first - width + 1), last + 1
 
 
 def search_shard(items: Items, texts: list[np.ndarray]) -> Iterator[tuple[int, int, int, float, int, int]]:
@@ -360,9 +397,15 @@ def search_shard(items: Items, texts: list[np.ndarray]) -> Iterator[tuple[int, i
     stretches = [(i, d, low - int(items.size[i]) // 4 - 4, high + int(items.size[i]) * 5 // 4 + 4) for i, d, low, high in groups]
     found: dict[tuple[int, int], set[tuple[int, float, int, int]]] = defaultdict(set)
     # runs are in the stretches of the index, so of the others only those with a share matter
-    for i, d, a, b in crowded(items, texts):
-        if common(items.mask(i), int(items.size[i]), texts[d][a:b].tolist()) >= SHARE * items.size[i]:
-            stretches.append((i, d, a, b))
+    many = list(crowded(items, texts))
+    which = np.array([i for i, *_ in many], np.int64)
+    in_order = common_of_many(items, which, [texts[d][a:b] for _, d, a, b in many])
+    # the few texts that are left are looked at word by word
+    for i, d in sorted({many[k][:2] for k in np.flatnonzero(in_order >= SHARE * items.size[which])}):
+        size, seq = int(items.size[i]), texts[d].tolist()
+        for a, b in windows(Counter(items.seqs[i]), max(int(np.ceil(SHARE * size)), COVER), int(np.ceil(STRETCH * size)), seq):
+            if common(items.mask(i), size, seq[a:b]) >= SHARE * size:
+                stretches.append((i, d, a, b))
     for i, d, a, b in stretches:
         a, seq = max(0, a), texts[d]
         for run, share, x, y in passages(items, i, seq[a:b].tolist()):

@@ -48,6 +48,18 @@ def test_bit_vectors_against_tables():
         assert K.longest_run(items.mask(0), seq)[0] == run_of(a, b)
 
 
+@pytest.mark.parametrize("table", [1, 500, 1 << 22])
+def test_many_sequences_at_once(monkeypatch, table):
+    rnd = random.Random(table)
+    monkeypatch.setattr(K, "TABLE", table)
+    items = K.Items([(i, [f"w{chr(97 + rnd.randrange(20))}" for _ in range(rnd.choice([1, 9, 63, 64, 65, 130, 200]))]) for i in range(9)])
+    which = np.array([rnd.randrange(9) for _ in range(200)])
+    seqs = [np.array([rnd.choice([0, 1, *range(2, 22)]) if rnd.random() < 0.3 else items.seqs[i][k % len(items.seqs[i])] for k in range(rnd.randrange(0, 230))], np.int64) for i in which]
+    want = [K.common(items.mask(i), int(items.size[i]), s.tolist()) for i, s in zip(which, seqs)]
+    assert K.common_of_many(items, which, seqs).tolist() == want
+    assert K.common_of_many(items, which[:0], []).tolist() == []
+
+
 def make(seed=7):
     rnd = random.Random(seed)
     vocab = ["".join(rnd.choice("abcdefghij") for _ in range(6)) for _ in range(180)]
@@ -194,7 +206,7 @@ def test_every_run_of_a_group():
 
 
 def test_windows_with_enough_words_against_all_windows():
-    """Every window of an item's width that holds enough of its words lies in a stretch, and every stretch holds one."""
+    """Every window of an item's width that holds enough of its words lies in a stretch, and every stretch of a text holds one."""
     rnd = random.Random(11)
     vocab = [f"w{chr(97 + i // 26)}{chr(97 + i % 26)}" for i in range(60)]
     for _ in range(12):
@@ -216,13 +228,14 @@ def test_windows_with_enough_words_against_all_windows():
             bag = Counter(seq)
             for d, t in enumerate(texts):
                 mine = [(a, b) for j, e, a, b in got if (j, e) == (i, d)]
+                exact = list(K.windows(bag, need, width, t.tolist()))
                 hits = set()
                 for end in range(1, len(t) + 1):
                     a = max(0, end - width)
                     if sum((Counter(t[a:end].tolist()) & bag).values()) >= need:
                         hits.add(end)
-                        assert any(x <= a and end <= y for x, y in mine)
-                assert all(any(x < h <= y for h in hits) for x, y in mine)
+                        assert all(any(x <= a and end <= y for x, y in them) for them in (mine, exact))
+                assert all(any(x < h <= y for h in hits) for x, y in exact)
 
 
 @pytest.mark.parametrize("copies", [1, 12, 13, 50, 1000])
