@@ -357,3 +357,63 @@ def dataset_cards(spark, sf):
         ":from": [":dataset"], ":join": [":field", [":=", ":field.dataset-id", ":dataset.id"]], ":group-by": [":dataset.id"],
     }
     return relational_query(cohort(spark, sf), q)
+
+
+@query(
+    """select * from (values ('clin', 'loaded', '{"duplicate-keys": {"sampleID": ["n1"]}, "duplicate-probes": ["age"]}', 'sampleID,age,age (2)', 2),
+      ('mat', 'loaded', '{"duplicate-keys": {"sampleID": ["s1"]}, "duplicate-probes": ["p (2)"]}', 'p,p (2),sampleID', 2)) t(name, status, warnings, fields, n_rows)"""
+)
+def load_warnings(spark, sf):
+    """Repeated headers are numbered, of repeated samples the first counts, and both are told."""
+    desk = Desk(spark).text("clin", "id\tage\tage\nn1\t1\t2\nn2\t3\t4\nn1\t5\t6\n", type="clinicalMatrix").text("mat", "x\ts1\ts2\ts1\np\t1\t2\t9\np\t3\t4\t9\n")
+    out = []
+    for name in ("clin", "mat"):
+        ds = desk.load(name).dataset(name)
+        warn = dict(sorted(ds.meta["metadata"]["loader"].items()))
+        out.append((name, ds.meta["status"], json.dumps(warn), ",".join(sorted(ds.fields) if ds.is_matrix else ds.fields), ds.meta["rows"]))
+    return spark.createDataFrame(out, "name string, status string, warnings string, fields string, n_rows int")
+
+
+@query(
+    "select * from (values ('a_matrix', 'loaded', 'after watch'), ('probes', 'loaded', 'after watch'), ('broken', 'error', 'after watch'), "
+    "('broken', 'error', 'after deletion')) t(name, status, moment)"
+)
+def watch_folder(spark, sf):
+    """A watched folder: its files are loaded one after the other, features only with what names them; a deleted probe map takes along what refers to it."""
+    from strandmill.streaming.queue import LoadQueue, watch
+
+    desk = Desk(spark).text("probes", "#id\tgenes\tchrom\tstart\tend\tstrand\na\tG\t1\t1\t2\t+\n", type="probeMap")
+    desk.text("a_matrix", "p\ts1\na\t1\n", type="genomicMatrix", ref_probeMap="probes").text("broken", "id\tx\tstart\nq\t1\t2\n", type="mutationVector").text("notes", "no table\n")
+    loads = LoadQueue(desk.loader)
+    watch(loads, desk.root, own_dir(spark, "watched"), once=True).awaitTermination()
+    loads.join()
+    cards = lambda: [(r["name"], r["status"]) for r in desk.catalog.system("dataset").collect()]
+    out = [(*x, "after watch") for x in cards()]
+    loads.put("probes", delete=True)
+    loads.join()
+    loads.close()
+    desk.loader.drop_dangling()
+    return spark.createDataFrame(out + [(*x, "after deletion") for x in cards()], "name string, status string, moment string")
+
+
+@query(
+    """select * from (values ('(map :n_name (query {:select [:n_name] :from [:nation] :where [:= :n_nationkey 7]}))', 'json', '["NATION_7"]'),
+      ('(count (query {:select [:*] :from [:nation] :where [:< :n_regionkey 2]}))', 'json', (select count(*)::varchar from nation where n_regionkey < 2)),
+      ('(column-query {:select ["v"] :from ["nations"] :where [:in "name" ["NATION_3" "NATION_9"]]})', 'json', (select '{"v":[' || string_agg(n_regionkey::varchar, ',' order by n_nationkey) || ']}' from nation where n_name in ('NATION_3', 'NATION_9'))),
+      ('(map (fn [r] (+ 1 (get r :n_nationkey))) (query {:select [:n_nationkey] :from [:nation] :where [:in :n_nationkey [4 5]] :order-by [:n_nationkey]}))', 'edn', '[5.0 6.0]'),
+      ('{:a [1 nil true] "b" #{:c}}', 'edn', '{:a [1.0 nil true], "b" #{:c}}'), ('(:z {:z "x"})', 'edn', '"x"')) t(expression, format, answer)"""
+)
+def expression_queries(spark, sf):
+    """Expressions that ask for data, and answers in both formats."""
+    df = table(spark, sf, "nation")
+    c = Catalog(spark)
+    c.use_tables(nation=df)
+    c.register("nations", df.select(F.col("n_nationkey").alias(ROW), F.col("n_name").alias("name"), F.col("n_regionkey").cast("double").alias("v")))
+    asked = [
+        ("(map :n_name (query {:select [:n_name] :from [:nation] :where [:= :n_nationkey 7]}))", "json"),
+        ("(count (query {:select [:*] :from [:nation] :where [:< :n_regionkey 2]}))", "json"),
+        ('(column-query {:select ["v"] :from ["nations"] :where [:in "name" ["NATION_3" "NATION_9"]]})', "json"),
+        ("(map (fn [r] (+ 1 (get r :n_nationkey))) (query {:select [:n_nationkey] :from [:nation] :where [:in :n_nationkey [4 5]] :order-by [:n_nationkey]}))", "edn"),
+        ('{:a [1 nil true] "b" #{:c}}', "edn"), ('(:z {:z "x"})', "edn"),
+    ]
+    return spark.createDataFrame([(e, f, client.post(c, e, f"application/{f}")) for e, f in asked], "expression string, format string, answer string")

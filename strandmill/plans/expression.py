@@ -230,7 +230,7 @@ def evaluate(node, scopes: list[dict]):
             if f is FUNCTIONS["map"] and len(node) == 3 and isinstance(node[1], Keyword):
                 return _column(frame, node[1].name)
             if f is FUNCTIONS["count"] and len(node) == 2:
-                return float(frame.count())
+                return frame.count()
         return invoke(f, *[evaluate(x, scopes) for x in node[1:]])
     if isinstance(node, bool) or node is None or isinstance(node, (str, Keyword)):
         return node

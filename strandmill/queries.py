@@ -447,6 +447,46 @@ def sql_calls(spark, sf):
     return relational_query(Catalog(spark), q)
 
 
+_CALLS = {
+    "abs": (["c_acctbal"], "abs(c_acctbal)"), "ceil": (["c_acctbal"], "ceil(c_acctbal)::bigint"), "floor": (["c_acctbal"], "floor(c_acctbal)::bigint"),
+    "sign": (["c_acctbal"], "sign(c_acctbal)::double"), "power": (["c_nationkey", 2], "power(c_nationkey, 2)"), "mod": (["c_custkey", 7], "c_custkey % 7"),
+    "lower": (["c_name"], "lower(c_name)"), "length": (["c_name"], "length(c_name)::int"), "substring": (["c_name", 3, 4], "substring(c_name, 3, 4)"),
+    "replace": (["c_name", "0", "-"], "replace(c_name, '0', '-')"), "concat": (["c_name", "c_mktsegment"], "concat(c_name, c_mktsegment)"), "left": (["c_name", 5], "left(c_name, 5)"),
+    "right": (["c_name", 5], "right(c_name, 5)"), "lpad": (["c_mktsegment", 12, "*"], "lpad(c_mktsegment, 12, '*')"), "rpad": (["c_mktsegment", 12, "*"], "rpad(c_mktsegment, 12, '*')"),
+    "reverse": (["c_name"], "reverse(c_name)"), "ascii": (["c_mktsegment"], "ascii(c_mktsegment)"), "repeat": (["c_mktsegment", 2], "repeat(c_mktsegment, 2)"),
+    "nullif": (["c_nationkey", 3], "nullif(c_nationkey, 3)"), "coalesce": ([None, "c_nationkey"], "coalesce(null, c_nationkey)"), "greatest": (["c_nationkey", 9], "greatest(c_nationkey, 9)"),
+    "least": (["c_nationkey", 9], "least(c_nationkey, 9)"), "instr": (["c_name", "#"], "instr(c_name, '#')::int"), "trim": (["c_name"], "trim(c_name)"),
+    "radians": (["c_nationkey"], "radians(c_nationkey)"), "degrees": (["c_nationkey"], "degrees(c_nationkey)"), "translate": (["c_name", "0C", "oK"], "translate(c_name, '0C', 'oK')"),
+}
+
+
+@query("select c_custkey, " + ", ".join(f"{sql} as f_{name}" for name, (_, sql) in _CALLS.items()) + " from customer")
+def sql_functions(spark, sf):
+    """Scalar functions of the allow-list over a table."""
+    arg = lambda x: f":{x}" if isinstance(x, str) and x.startswith("c_") else x
+    calls = [[Call(name, [arg(x) for x in args]), f":f_{name}"] for name, (args, _) in _CALLS.items()]
+    return relational_query(catalog(spark, sf, "customer"), {":select": [":c_custkey", *calls], ":from": [":customer"]})
+
+
+@query("select o_orderpriority, year(o_orderdate)::int as y, month(o_orderdate)::int as m, count(*) as n, count(distinct o_custkey) as customers, round(stddev(o_totalprice), 2) as sd, round(var_pop(o_totalprice), 0) as var, round(median(o_totalprice), 3) as med from orders group by 1, 2, 3")
+def sql_aggregates(spark, sf):
+    """Dates and aggregates of the allow-list."""
+    by = [":o_orderpriority", Call("year", [":o_orderdate"]), Call("month", [":o_orderdate"])]
+    agg = lambda f, digits: Call("round", [Call(f, [":o_totalprice"]), digits])
+    q = {
+        ":select": [by[0], [by[1], ":y"], [by[2], ":m"], [":%count.*", ":n"], [Call("count-distinct", [":o_custkey"]), ":customers"], [agg("stddev", 2), ":sd"], [agg("var_pop", 0), ":var"], [agg("median", 3), ":med"]],
+        ":from": [":orders"], ":group-by": by,
+    }
+    return relational_query(catalog(spark, sf, "orders"), q)
+
+
+@query("select a.r_name as one, b.r_name as two from region a, region b where a.r_regionkey < b.r_regionkey")
+def join_cross(spark, sf):
+    """All pairs of a table of fixed size, as a query that names no condition for its join asks for them."""
+    q = {":select": [[":a.r_name", ":one"], [":b.r_name", ":two"]], ":from": [[":region", ":a"]], ":cross-join": [[":region", ":b"]], ":where": [":<", ":a.r_regionkey", ":b.r_regionkey"]}
+    return relational_query(catalog(spark, sf, "region"), q)
+
+
 # -- questions to the catalog ------------------------------------------------------
 @query("select distinct cohort from dataset where cohort is not null")
 def all_cohorts(spark, sf):
