@@ -9,13 +9,14 @@ from __future__ import annotations
 
 import re
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandmill.catalog import ROW, Dataset, Field, LoadError, with_rows
 from strandmill.functions.scalars import MISSING_NUMBERS, normalize_chrom, parse_coordinate, parse_float_na, shift_int_csv, split_genes
-from strandmill.operators.aggregates import first_codes, rank_in_group, suffixed
+from strandmill.operators.aggregates import rank_in_group, suffixed
 
 MAX_NAME = 250
 
@@ -327,21 +328,24 @@ def read_map(spark: SparkSession, path: str, name: str, kind: str, start_index:
 
 
 def table_codes(ds: Dataset) -> DataFrame | None:
-    """Codes of the category fields of a table; declared orders first, and no state outside of them."""
+    """Codes of the category fields of a table: declared orders, and no state outside of them, else the order of first occurrence.
+
+    The fields without an order are folded and numbered together, in one pass.
+    """
     spark = ds.df.sparkSession
-    out = None
-    for n, f in ds.fields.items():
-        if f.type != "category":
+    parts = []
+    category = {n: f.feature.get("order") for n, f in ds.fields.items() if f.type == "category"}
+    for n, order in category.items():
+        if not order:
             continue
-        order = f.feature.get("order")
-        if order:
-            part = spark.createDataFrame([(n, i, s) for s, i in order.items()], "field string, ordering int, value string")
-            bad = ds.df.select(F.col(f"`{n}`").cast("string").alias("value")).where("value is not null").distinct().join(part, "value", "left_anti").take(1)
-            if bad:
-                raise LoadError(f"Invalid state {bad[0]['value']} for feature {n}")
-        else:
-            part = first_codes(ds.df.select(F.col(f"`{n}`").cast("string").alias("value"), ROW), "value", ROW).select(
-                F.lit(n).alias("field"), F.col("code").cast("int").alias("ordering"), "value"
-            )
-        out = part if out is None else out.unionByName(part)
-    return out
+        part = spark.createDataFrame([(n, i, s) for s, i in order.items()], "field string, ordering int, value string")
+        bad = ds.df.select(F.col(f"`{n}`").cast("string").alias("value")).where("value is not null").distinct().join(part, "value", "left_anti").take(1)
+        if bad:
+            raise LoadError(f"Invalid state {bad[0]['value']} for feature {n}")
+        parts.append(part)
+    if free := [n for n, order in category.items() if not order]:
+        cells = F.array(*[F.struct(F.lit(n).alias("field"), F.col(f"`{n}`").cast("string").alias("value")) for n in free])
+        firsts = ds.df.select(ROW, F.explode(cells).alias("c")).where("c.value is not null").groupBy("c.field", "c.value").agg(F.min(ROW).alias("__first"))
+        ranked = rank_in_group(firsts, ["field"], ["__first", "value"], "__n")
+        parts.append(ranked.select("field", (F.col("__n") - 1).cast("int").alias("ordering"), "value"))
+    return reduce(DataFrame.unionByName, parts) if parts else None
