@@ -7,16 +7,19 @@ from pyspark.sql import functions as F
 
 from strandmill.functions.scalars import BIN_FIRST_SHIFT, BIN_NEXT_SHIFT, BIN_OFFSETS
 
-LEVELS = len(BIN_OFFSETS)
+# Shifts of the levels, finest first: those of the binning scheme, then wider steps for coordinates of 64 bits.
+SHIFTS = [BIN_FIRST_SHIFT + BIN_NEXT_SHIFT * v for v in range(len(BIN_OFFSETS))] + [37, 45, 53]
+LEVELS = len(SHIFTS)
 
 
 def _bin(pos: Column, level: int) -> Column:
     """The bin of a position; beyond the last level there is one bin for all."""
-    return F.shiftright(pos, BIN_FIRST_SHIFT + BIN_NEXT_SHIFT * level) if level < LEVELS else F.lit(0).cast("long")
+    return F.shiftright(pos, SHIFTS[level]) if level < LEVELS else F.lit(0).cast("long")
 
 
 def _slot(level: int, bin_: Column) -> Column:
-    return F.struct(F.lit(level).alias("level"), bin_.alias("bin"))
+    """Bin and level in one number, the level in the last four bits; a bin has 47 bits at most."""
+    return F.shiftleft(bin_, 4).bitwiseOR(F.lit(level).cast("long"))
 
 
 def _home(start: Column, end: Column) -> Column:
@@ -39,8 +42,9 @@ def overlap_join(
     meets exactly once, in the bin of the left row, and needs no
     de-duplication; the residual condition is the exact overlap. The left side,
     which should be the larger one, is shuffled as it is; a right interval of
-    length n visits about ``n >> 17`` bins of the finest level. ``how``:
-    ``inner``, or ``left_semi`` for the left rows that overlap anything.
+    length n visits about ``n >> 17`` bins of the finest level. Coordinates are
+    of up to 64 bits. ``how``: ``inner``, or ``left_semi`` for the left rows that
+    overlap anything.
 
     Defined cases: NULL keys or coordinates and reversed intervals overlap
     nothing; repeated rows give repeated pairs; columns of one name on both
@@ -59,8 +63,8 @@ def overlap_join(
 
     visiting = b.withColumn("__visit", F.explode(F.concat(*[touched(v) for v in range(LEVELS + 1)])))
     cond = (
-        (placed[on[0]] == visiting[on[1]])
-        & (F.col("__home") == F.col("__visit"))
+        (F.col("__home") == F.col("__visit"))  # first, since a sort by a number is cheaper than one by a name
+        & (placed[on[0]] == visiting[on[1]])
         & (placed[ls] <= visiting[re_])
         & (placed[le] >= visiting[rs])
     )

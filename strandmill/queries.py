@@ -69,11 +69,11 @@ def probes(spark: SparkSession, sf: str) -> Catalog:
 
 
 def segments(spark: SparkSession, sf: str) -> DataFrame:
-    """Lines as segments: ``chrom``, ``start``, ``end``."""
-    start = F.col("l_partkey") * 1000
+    """Lines as segments: ``chrom``, ``start``, ``end``; coordinates are of 64 bits, as keys are."""
+    start = F.col("l_partkey").cast("long") * 1000
     return table(spark, sf, "lineitem").select(
         "l_orderkey", "l_linenumber", F.concat(F.lit("chr"), (F.col("l_suppkey") % 22).cast("string")).alias("chrom"),
-        start.cast("int").alias("start"), (start + F.col("l_quantity") * 500).cast("int").alias("end"),
+        start.alias("start"), F.rint(start + F.col("l_quantity") * 500).cast("long").alias("end"),
     )
 
 
@@ -81,11 +81,11 @@ SEGMENTS = "(select l_orderkey, l_linenumber, 'chr' || (l_suppkey % 22) as chrom
 
 
 def genes(spark: SparkSession, sf: str) -> DataFrame:
-    """Every fifth part number times 10 000 as a gene: the table of intervals to overlap with."""
-    k = F.col("p_partkey")
+    """Every part number times 10 000 as a gene: the table of intervals to overlap with; coordinates are of 64 bits."""
+    k = F.col("p_partkey").cast("long")
     return table(spark, sf, "part").select(
         F.col("p_partkey").alias("gene"), F.concat(F.lit("chr"), (k % 22).cast("string")).alias("gchrom"),
-        (k * 10000).cast("int").alias("gstart"), (k * 10000 + F.col("p_size") * 100).cast("int").alias("gend"),
+        (k * 10000).alias("gstart"), (k * 10000 + F.col("p_size").cast("long") * 100).alias("gend"),
     )
 
 
