@@ -43,8 +43,8 @@ def overlap_join(
     de-duplication; the residual condition is the exact overlap. The left side,
     which should be the larger one, is shuffled as it is; a right interval of
     length n visits about ``n >> 17`` bins of the finest level. Coordinates are
-    of up to 64 bits. ``how``: ``inner``, or ``left_semi`` for the left rows that
-    overlap anything.
+    of up to 64 bits. Neither side is broadcast. ``how``: ``inner``, or
+    ``left_semi`` for the left rows that overlap anything.
 
     Defined cases: NULL keys or coordinates and reversed intervals overlap
     nothing; repeated rows give repeated pairs; columns of one name on both
@@ -68,4 +68,5 @@ def overlap_join(
         & (placed[ls] <= visiting[re_])
         & (placed[le] >= visiting[rs])
     )
-    return placed.join(visiting, cond, how).drop("__home", "__visit")
+    # the planner takes the exploded side for as small as its files and would broadcast it
+    return placed.join(visiting.hint("merge"), cond, how).drop("__home", "__visit")

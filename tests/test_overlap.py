@@ -26,7 +26,7 @@ def far(spark, tmp_path_factory):
     return str(at), db
 
 
-@pytest.mark.parametrize("name", ["interval_join", "position_overlap", "calc_bin", "overlapping_bins"])
+@pytest.mark.parametrize("name", ["interval_join", "interval_semi_join", "position_overlap", "calc_bin", "overlapping_bins"])
 def test_keys_beyond_32_bits(spark, far, name):
     at, db = far
     df = queries.QUERIES[name](spark, at)
@@ -49,3 +49,10 @@ def test_far_intervals_do_not_share_one_bin(spark):
     df = spark.range(1, 4097).selectExpr("shiftleft(id, 29) - 1 as s", "shiftleft(id, 29) as e")
     most = df.groupBy(_home(F.col("s"), F.col("e")).alias("h")).count().agg(F.max("count")).first()[0]
     assert most <= 256
+
+
+@pytest.mark.parametrize("name", ["interval_join", "interval_semi_join"])
+def test_exploded_side_is_not_broadcast(spark, far, name):
+    """Its rows are many times those of the table that the planner knows the size of."""
+    plan = queries.QUERIES[name](spark, far[0])._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
